@@ -179,14 +179,19 @@ def spanning_links(home: np.ndarray, rows: np.ndarray, limit: int) -> np.ndarray
     return label
 
 
-def links_in_shards(placed: DataFrame, limit: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """u, v: a spanning set of the links in each shard of placed (shard, fp, home[, wide])."""
+def links_in_shards(placed: DataFrame, limit: int, chunk_rows: int = CHUNK_ROWS, max_shards: int | None = None) -> DataFrame:
+    """u, v: a spanning set of the links in each shard of placed (shard, fp, home[, wide]).
+
+    max_shards: how many shards there can be, if that is bounded; their sizes are then broadcast.
+    """
     wide = "wide" in placed.columns
     sizes = placed.groupBy("shard").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / chunk_rows).cast("int").alias("nh"),
         F.ceil(F.count("*") / chunk_rows).cast("int").alias("na"),
     ).where("na > 1")
-    # At most one row per shard that overflows a chunk; Spark chooses the join by its measured size.
+    # One row per shard that overflows a chunk. Without a bound on the shards Spark chooses the join by size.
+    if max_shards is not None and max_shards <= 1 << 16:
+        sizes = F.broadcast(sizes)
     cut = placed.join(sizes, "shard", "left").na.fill(1, ["nh", "na"])
     spot = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("na")).cast("int")
     other = F.pmod(F.xxhash64("fp", F.lit(8)), F.greatest("nh", F.lit(1))).cast("int")
@@ -249,7 +254,8 @@ def components(
     """doc_id, fp, component_id for each row of docs (doc_id, text): see the module's notes."""
     fps = common.written(fingerprints(docs, shingle), "fingerprints")
     first = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    links = links_in_shards(place(first, radius, blocks, home_rows, max_leaves, seed), radius)
+    placed = place(first, radius, blocks, home_rows, max_leaves, seed)
+    links = links_in_shards(placed, radius, max_shards=blocks * max_leaves)
     return _named(fps, first, common.connected_components(links))
 
 
