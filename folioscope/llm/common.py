@@ -16,6 +16,14 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def per_process(key: tuple, make):
+    """What make() gave for this key, kept by a Python worker from task to task."""
+    kept = vars(sys).setdefault("_folioscope_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

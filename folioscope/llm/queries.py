@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, toxicity, urlfilter
+from . import ann, langid, pieces, simhash, tokencount, toxicity, urlfilter
+
+#: Where the public tokenizers' files are.
+TOKENIZERS = "/opt/tokenizers"
+#: How the byte-level vocabularies split text, and the identifier that they leave free.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+END_OF_DOCUMENT = 50256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +23,15 @@ def fold(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    vocabulary = tokencount.Vocabulary(f"{tokenizers}/byte_bpe_multi_50k.tiktoken", SPLIT, END_OF_DOCUMENT)
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary).select("doc_id", "n_tokens")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -102,10 +117,18 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    model = pieces.Model(f"{tokenizers}/piece_bpe_32k.model")
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 QUERIES = {
+    "op1_ann": op1_ann,
+    "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_langid": op7_langid,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 ORACLE = {"op6_url_filter": OP6_SQL}
