@@ -27,6 +27,7 @@ import hashlib
 import heapq
 import math
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,17 @@ class Model:
         self.kinds = [p.type for p in proto.pieces]
         self.bpe = proto.trainer_spec.model_type == 2
         self.prefix, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
+        #: The bytes that each id stands for.
+        self.spell = [
+            bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(BLANK, " ").encode()
+            for p in proto.pieces
+        ]
         self.digest = hashlib.sha256(proto.SerializeToString()).hexdigest()
 
+    def text(self, ids: list[int]) -> str:
+        """The inverse transduction: what the ids spell, without the dummy prefix."""
+        return b"".join(map(self.spell.__getitem__, ids)).decode("utf-8", "replace")[1 if self.prefix and ids else 0 :]
+
 
 class Transducer:
     """A compiled model. Piece kinds: 1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6 byte."""
@@ -79,6 +89,12 @@ class Transducer:
         self.spines: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
         self.worst = min(self.score, default=0.0) - 1 - 10 * self.longest
+        # Pieces that merging can give, and the lengths that those have by their first three characters.
+        self.usable = {p: i for p, i in self.arcs.items() if not self.bpe or len(p) == 1 or self.spine(i) is not None}
+        lengths: dict[str, set[int]] = {}
+        for p in self.usable:
+            lengths.setdefault(p[:3], {1, 2}).add(len(p))
+        self.lengths = {p: tuple(sorted(k, reverse=True)) for p, k in lengths.items()}
 
     @staticmethod
     def _repeated(scores: list[float]) -> set[float]:
@@ -173,27 +189,25 @@ class Transducer:
             return self._viterbi(text)
         if len(text) > 1 and BLANK * 2 in text:
             return [i for p in self.merge(text) for i in ([self.arcs[p]] if p in self.arcs else self.fallback(p))]
-        arcs, n, dead = self.arcs, len(text), set()
-        at, starts, taken = 0, [], []
-        size = min(self.longest, n)
+        arcs, lengths, fits, wide = self.usable, self.lengths, self.fits, len(self.score)
+        n, dead, at, starts, taken, size = len(text), set(), 0, [], [], len(text)
         while at < n:
-            prev = taken[-1] if taken else None
-            for k in range(size, 0, -1):
-                if at + k in dead:
+            prev = taken[-1] if taken else -1
+            for k in lengths.get(text[at : at + 3], (2, 1)):
+                if k > size or at + k in dead:
                     continue
-                p = arcs.get(text[at : at + k])
-                if p is None:
-                    if k > 1:
-                        continue
-                    p = -1
-                elif k > 1 and self.spine(p) is None:
+                p = arcs.get(text[at : at + k], -1)
+                if p < 0 and k > 1:
                     continue
-                if prev is None or prev < 0 or p < 0 or self.pair_fits(prev, p):
-                    starts.append(at)
-                    taken.append(p)
-                    at += k
-                    size = min(self.longest, n - at)
-                    break
+                if prev >= 0 and p >= 0:
+                    fit = fits.get(prev * wide + p)
+                    if not (self.pair_fits(prev, p) if fit is None else fit):
+                        continue
+                starts.append(at)
+                taken.append(p)
+                at += k
+                size = n - at
+                break
             else:
                 if not taken:
                     raise AssertionError(f"no path over {text!r}")
@@ -223,31 +237,25 @@ class Transducer:
             at = i
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.spell().__getitem__, ids)).decode("utf-8", "replace")[1 if self.model.prefix and ids else 0 :]
-
-    def spell(self) -> list[bytes]:
-        """The bytes that each id stands for."""
-        out = []
-        for p, k in zip(self.model.pieces, self.model.kinds, strict=True):
-            out.append(bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else p.replace(BLANK, " ").encode())
-        return out
-
-
 class Encoder:
     """Encodes whole texts, remembering the paths of words."""
 
     def __init__(self, transducer: Transducer):
         self.t = transducer
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pack = [i.to_bytes(4, sys.byteorder) for i in range(len(transducer.score))]
 
     def word(self, text: str) -> bytes:
+        """The path of one word, remembered in two generations: the older is dropped when the newer is full."""
         got = self.memo.get(text)
         if got is None:
-            got = np.array(self.t.path(text), np.int32).tobytes()
+            got = self.older.get(text)
+            if got is None:
+                got = b"".join([self.pack[i] for i in self.t.path(text)])
             if len(text) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
+                if len(self.memo) >= MEMO // 2:
+                    self.memo, self.older = {}, self.memo
                 self.memo[text] = got
         return got
 
@@ -260,8 +268,9 @@ class Encoder:
         text = BLANK + text if self.t.model.prefix else text
         lines = text.split("\n") if self.t.line_cut else [text]
         end = np.array(self.t.fallback("\n") if "\n" not in self.t.arcs else [self.t.arcs["\n"]], np.int32).tobytes()
-        out, get, word = [], self.memo.get, self.word
+        out, word = [], self.word
         for line in lines:
+            get = self.memo.get
             if line:
                 if BLANK * 2 in line:
                     words = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", line)
@@ -283,7 +292,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         encoder = common.per_process(("pieces", model.digest), lambda: Encoder(Transducer(model)))
-        spell = encoder.t.spell()
+        spell = model.spell
         skip = 1 if model.prefix else 0
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
@@ -311,13 +320,8 @@ def decode(tokens: DataFrame, model: Model) -> DataFrame:
     taken = [c for c in tokens.columns if c != "decoded"]
 
     def run(batches):
-        spell = Transducer(model).spell()
-        skip = 1 if model.prefix else 0
         for b in batches:
-            out = [
-                None if i is None else b"".join(map(spell.__getitem__, i)).decode("utf-8", "replace")[skip if i else 0 :]
-                for i in b.column(at).to_pylist()
-            ]
+            out = [None if i is None else model.text(i) for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in taken), pa.array(out, pa.string())], names=[*taken, "decoded"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in tokens.schema if f.name in taken)
