@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, pieces, simhash, tokencount, toxicity, urlfilter
+from . import ann, langid, pieces, repeats, simhash, tokencount, toxicity, urlfilter
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -122,6 +122,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op3_token_counts": op3_token_counts,
@@ -130,5 +134,6 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_langid": op7_langid,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_repeats": op10_repeats,
 }
 ORACLE = {"op6_url_filter": OP6_SQL}
