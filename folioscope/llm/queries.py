@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, pieces, repeats, simhash, tokencount, toxicity, urlfilter
+from . import ann, decontaminate, langid, pieces, pii, repeats, simhash, tokencount, toxicity, urlfilter
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
 #: How the byte-level vocabularies split text, and the identifier that they leave free.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_DOCUMENT = 50256
+#: The pseudonyms' key; a deployment sets its own.
+PII_KEY = "folioscope"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str, key: str = PII_KEY) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     vocabulary = tokencount.Vocabulary(f"{tokenizers}/byte_bpe_multi_50k.tiktoken", SPLIT, END_OF_DOCUMENT)
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary).select("doc_id", "n_tokens")
@@ -122,18 +128,25 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "share", "verbatim")
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
 
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_pii": op2_pii,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_langid": op7_langid,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_decontaminate": op9_decontaminate,
     "op10_repeats": op10_repeats,
 }
 ORACLE = {"op6_url_filter": OP6_SQL}
