@@ -6,6 +6,8 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,26 @@ def per_process(key: tuple, make):
     return kept[key]
 
 
+def whole_groups(batches, column: str, rows: int):
+    """Tables of `rows` rows or more (but the last) from batches sorted by a column; no group is torn."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = t.column(column).to_numpy()
+        other = np.flip(key != key[-1])
+        if other.any():
+            edge = len(key) - int(other.argmax())  # the last group may go on in the next batch
+            yield t.slice(0, edge).combine_chunks()
+            t = t.slice(edge)
+        held, n = t.to_batches(), t.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

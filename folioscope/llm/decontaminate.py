@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .pii import let
 
 #: Words taken as units of measure.
 UNITS = (
@@ -40,10 +41,10 @@ def words(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
-def slots(raw: Column) -> Column:
+def slots(text: Column) -> Column:
     """For each word a struct: t, its template word, and v, its value if that is a placeholder (else empty)."""
 
-    def one(w: Column, i: Column) -> Column:
+    def one(raw: Column, w: Column, i: Column) -> Column:
         bare = F.btrim(w, F.lit(PUNCTUATION))
         low, head = F.lower(bare), F.substring(bare, 1, 1)
         before = F.substring(F.coalesce(F.get(raw, i - 1), F.lit("")), -1, 1)
@@ -51,42 +52,48 @@ def slots(raw: Column) -> Column:
         kind = F.when(head.between("0", "9"), "<num>").when((low != bare) & inside & (head != F.lower(head)), "<name>").when(low.isin(*UNITS), "<unit>")
         return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).otherwise("").alias("v"))
 
-    return F.transform(raw, one)
+    return let(words(text), lambda raw: F.transform(raw, lambda w, i: one(raw, w, i)))
 
 
-def template(raw: Column) -> Column:
-    """The template words alone, without a struct for each."""
+OUTER = "[" + "".join("\\" + c if c in "[]-^\\" else c for c in PUNCTUATION) + "]"
+#: A capitalised word that the end of no sentence precedes, and what parts words.
+NAME = r"(?=\p{Lu})(?<=[^\s.!?:\"]\s)\p{Lu}\S*"
+BETWEEN = rf"{OUTER}*\s+{OUTER}*"
 
-    def one(w: Column, i: Column) -> Column:
-        bare = F.btrim(w, F.lit(PUNCTUATION))
-        low, head = F.lower(bare), F.substring(bare, 1, 1)
-        before = F.substring(F.coalesce(F.get(raw, i - 1), F.lit("")), -1, 1)
-        inside = ~before.isin("", ".", "!", "?", ":", '"')
-        return (
-            F.when(head.between("0", "9"), F.lit("<num>"))
-            .when((low != bare) & inside & (head != F.lower(head)), F.lit("<name>"))
-            .when(low.isin(*UNITS), F.lit("<unit>"))
-            .otherwise(low)
-        )
 
-    return F.transform(raw, one)
+def template(text: Column) -> Column:
+    """The hashes of a text's template words; their positions are those of words()."""
+    shaped = F.lower(F.regexp_replace(text, NAME, "<name>"))
+    one = lambda w: (
+        F.when((w >= "0") & (w < ":"), F.lit(1).cast("long")).when(w.isin(*UNITS), F.lit(2).cast("long")).otherwise(F.xxhash64(w))
+    )
+    return F.transform(F.split(F.btrim(shaped, F.lit(PUNCTUATION)), BETWEEN), one)
+
+
+def windows(hashes: Column, size: int) -> Column:
+    """The hashes of all windows of a size over word hashes (null for fewer words).
+
+    Spans double: a span's hash is that of two halves, and the last step lets the halves overlap.
+    """
 
+    def grown(h: Column, span: int) -> Column:
+        if span == size:
+            return h
+        step = min(span, size - span)
+        # The inner transform reads h at two places; let() has it computed once.
+        return let(h, lambda g: grown(F.transform(g, lambda x, i: F.xxhash64(x, F.get(g, i + step))), span + step))
 
-def windows(template_words: Column, size: int) -> Column:
-    """Hashes of all windows of a size; none for fewer words."""
-    n = F.size(template_words) - size
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice(template_words, i + 1, size))))
+    return let(hashes, lambda h: F.when(F.size(h) >= size, F.slice(grown(h, 1), F.lit(1), F.size(h) - size + 1)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 5, share: float = 0.5, max_broadcast: int = 500_000) -> DataFrame:
     """doc_id, text_hash, item_id, shift, n_windows, share, verbatim for each document and item with an alignment that counts."""
     items = (
         benchmark.where("item_id is not null and text is not null")
-        .select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("raw"))
-        .select("item_id", slots(F.col("raw")).alias("s"))
-        .groupBy("s")
+        .select(F.col("item_id").cast("long").alias("item_id"), slots(F.col("text")).alias("s"), template(F.col("text")).alias("hashes"))
+        .groupBy("s", "hashes")
         .agg(F.sort_array(F.collect_set("item_id")).alias("members"))
-        .select(F.element_at("members", 1).alias("item"), "members", "s", (F.size("s") - 1).alias("n"))
+        .select(F.element_at("members", 1).alias("item"), "members", "s", "hashes", (F.size("s") - 1).alias("n"))
         .where(F.col("n") >= least)
         .withColumn("size", F.least(F.col("n"), F.lit(window)))
     )
@@ -94,7 +101,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, shift int, n_windows long, share double, verbatim boolean")
-    rest = F.transform(F.slice("s", F.lit(2), F.col("n")), lambda x: x["t"])
+    rest = F.slice("hashes", F.lit(2), F.col("n"))
     of_item = None
     for size in sizes:
         part = items.where(F.col("size") == size).select("item", F.lit(size).alias("size"), F.posexplode(windows(rest, size)).alias("at", "h"))
@@ -103,8 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
     limited = lambda df, n: F.broadcast(df) if n <= max_broadcast else df
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
-    raw = named.select("doc_id", "text_hash", words(F.col("text")).alias("raw"))
-    shaped = raw.select("doc_id", "text_hash", template(F.col("raw")).alias("t"))
+    shaped = named.select("doc_id", "text_hash", template(F.col("text")).alias("t"))
     hits = None
     for size in sizes:
         part = shaped.select("doc_id", "text_hash", F.lit(size).alias("size"), F.posexplode(windows(F.col("t"), size)).alias("pos", "h"))
@@ -121,7 +127,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
     keys = aligned.select("doc_id", "text_hash").distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
     matched = named.alias("d").join(limited(keys, keys.count()).alias("k"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    held = matched.select("doc_id", "text_hash", words(F.col("text")).alias("raw")).select("doc_id", "text_hash", slots(F.col("raw")).alias("ds"))
+    held = matched.select("doc_id", "text_hash", slots(F.col("text")).alias("ds"))
     same = F.col("a.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("a.text_hash") == F.col("d.text_hash"))
     both = aligned.alias("a").join(held.alias("d"), same).select("a.*", "d.ds")
     length = F.col("hi") - F.col("lo")
@@ -131,7 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
             F.slice("ds", F.col("shift") + F.col("lo") + 2, length),
             lambda b, d: F.struct(b["t"].alias("t"), b["v"].alias("b"), d["v"].alias("d")),
         ),
-        lambda p: (p["b"] != "") | (p["d"] != ""),
+        lambda p: (p["b"] != "") & (p["d"] != ""),
     )
     side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p[name]))))
     checked = both.withColumn("pairs", pairs).where((F.size(F.array_distinct("pairs")) == side("b")) & (side("b") == side("d")))

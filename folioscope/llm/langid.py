@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "und"
-BINS = 8192
+BINS = 4096
 
 
 def byte_table() -> bytes:
@@ -46,7 +46,7 @@ def features(text: bytes, table: bytes) -> np.ndarray:
                 break
             code = code[:-1] * np.uint32(16777619) + b[n - 1 :]
             mixed = (code ^ (code >> np.uint32(15))) * np.uint32(2246822519 + 2 * n)
-            total += np.bincount(mixed >> np.uint32(19), minlength=BINS)
+            total += np.bincount(mixed >> np.uint32(20), minlength=BINS)
     return np.sqrt(total / max(1, total.sum())).astype(np.float32)
 
 
@@ -105,7 +105,7 @@ class Model:
         return best, order[:, -1], lead
 
 
-def fit(labelled: DataFrame, max_docs: int = 2000, max_langs: int = 400) -> Model:
+def fit(labelled: DataFrame, max_docs: int = 1600, max_langs: int = 400) -> Model:
     """Train on labelled (doc_id, text, lang); see the module's notes for the bounds."""
     rows = labelled.where("lang is not null and doc_id is not null and text is not null")
     counts = rows.groupBy("lang").count().limit(max_langs + 1).collect()

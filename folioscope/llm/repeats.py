@@ -186,22 +186,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, ma
                 [pa.array(gram[keep]), pa.array(b.column("hash").to_numpy()[keep]), _run_array([got[i] for i in keep])], names=["gram", "hash", "runs"]
             )
 
-        held_back: list[pa.RecordBatch] = []
-        n = 0
-        for b in batches:
-            held_back.append(b)
-            n += b.num_rows
-            if n >= bin_rows:
-                t = pa.Table.from_batches(held_back).combine_chunks()
-                gram = t.column("gram").to_numpy()
-                other = np.flip(gram != gram[-1])
-                edge = int(other.argmax()) if other.any() else len(gram)
-                if edge < len(gram):  # the last group may go on in the next batch
-                    yield solve(t.slice(0, len(gram) - edge))
-                    t = t.slice(len(gram) - edge)
-                held_back, n = t.to_batches(), t.num_rows
-        if n:
-            yield solve(pa.Table.from_batches(held_back).combine_chunks())
+        for t in common.whole_groups(batches, "gram", bin_rows):
+            yield solve(t)
 
     ordered = spelled.where("crowded is null").select("gram", "hash", "copies", "anchor", "bytes").repartition("gram").sortWithinPartitions("gram")
     small = ordered.mapInArrow(build, f"gram long, hash long, runs {RUNS}")

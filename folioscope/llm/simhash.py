@@ -179,39 +179,62 @@ def spanning_links(home: np.ndarray, rows: np.ndarray, limit: int) -> np.ndarray
     return label
 
 
-def links_in_shards(placed: DataFrame, limit: int, chunk_rows: int = CHUNK_ROWS, max_shards: int | None = None) -> DataFrame:
-    """u, v: a spanning set of the links in each shard of placed (shard, fp, home[, wide]).
-
-    max_shards: how many shards there can be, if that is bounded; their sizes are then broadcast.
+def close_pairs(shard: np.ndarray, bits: np.ndarray, home: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links that span the groups in each shard; rows are sorted by shard."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+    size = np.diff(edge)
+    few = np.repeat(size <= 8, size)
+    left, right = [], []
+    for k in range(1, min(8, int(size.max(initial=1)))):  # small shards: all their rows against the k-th next, at once
+        a = np.flatnonzero(few[:-k] & (shard[:-k] == shard[k:]) & (home[:-k] | home[k:]))
+        for at in range(0, len(a), 1 << 18):
+            i = a[at : at + (1 << 18)]
+            hit = np.bitwise_count(bits[i] ^ bits[i + k]).sum(axis=1, dtype=np.uint16) <= limit
+            left.append(i[hit] + k)
+            right.append(i[hit])
+    for g in np.flatnonzero(size > 8):
+        at, end = edge[g], edge[g + 1]
+        label = spanning_links(np.flatnonzero(home[at:end]), bits[at:end], limit)
+        moved = np.flatnonzero(label != np.arange(end - at))
+        left.append(moved + at)
+        right.append(label[moved] + at)
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(left or empty), np.concatenate(right or empty)
+
+
+def links_in_shards(placed: DataFrame, sizes: DataFrame, limit: int, max_broadcast: int = 100_000) -> DataFrame:
+    """u, v: a spanning set of the links in each shard of placed (shard, fp, home, wide).
+
+    sizes (shard, nh, na): of the crowded shards, how many chunks of homes and of all rows
+    to make. It is broadcast if it is short, else joined by shuffle.
     """
-    wide = "wide" in placed.columns
-    sizes = placed.groupBy("shard").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / chunk_rows).cast("int").alias("nh"),
-        F.ceil(F.count("*") / chunk_rows).cast("int").alias("na"),
-    ).where("na > 1")
-    # One row per shard that overflows a chunk. Without a bound on the shards Spark chooses the join by size.
-    if max_shards is not None and max_shards <= 1 << 16:
-        sizes = F.broadcast(sizes)
-    cut = placed.join(sizes, "shard", "left").na.fill(1, ["nh", "na"])
-    spot = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("na")).cast("int")
-    other = F.pmod(F.xxhash64("fp", F.lit(8)), F.greatest("nh", F.lit(1))).cast("int")
-    extra = ["wide"] if wide else []
-    one = cut.where("na = 1").select("shard", F.lit(0).alias("h"), F.lit(0).alias("a"), "fp", F.when(F.col("home"), 2).otherwise(0).alias("role"), *extra)
-    big = cut.where("na > 1 and nh > 0")
-    as_any = big.select("shard", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("h"), spot.alias("a"), "fp", F.lit(0).alias("role"), *extra)
-    as_home = big.where("home").select("shard", other.alias("h"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), "fp", F.lit(1).alias("role"), *extra)
-
-    def compare(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy()
-        role = table.column("role").to_numpy()
-        bits = fp.view(np.uint64)[:, None]
-        if wide:
-            bits = np.ascontiguousarray(table.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1))
-        label = spanning_links(np.flatnonzero(role > 0), bits, limit)
-        moved = np.flatnonzero((label != np.arange(len(fp))) & (fp != fp[label]))
-        return pa.table({"u": fp[moved], "v": fp[label[moved]]})
-
-    return one.union(as_any).union(as_home).groupBy("shard", "h", "a").applyInArrow(compare, "u long, v long")
+    sizes = common.written(sizes, "sizes")
+    crowded = sizes.count()
+    parts = placed.select("shard", F.lit(0).alias("h"), F.lit(0).alias("a"), "fp", "home", "wide")
+    if crowded:
+        cut = placed.join(F.broadcast(sizes) if crowded <= max_broadcast else sizes, "shard", "left")
+        spot = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("na")).cast("int")
+        other = F.pmod(F.xxhash64("fp", F.lit(8)), F.col("nh")).cast("int")
+        small = cut.where("na is null").select(*parts.columns[:1], F.lit(0).alias("h"), F.lit(0).alias("a"), "fp", "home", "wide")
+        visits = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda h: F.struct(h.alias("h"), spot.alias("a"), F.lit(False).alias("home")))
+        at_home = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda a: F.struct(other.alias("h"), a.alias("a"), F.lit(True).alias("home")))
+        big = cut.where("na is not null and nh > 0").select("shard", "fp", "wide", F.explode(F.when(F.col("home"), F.concat(visits, at_home)).otherwise(visits)).alias("x"))
+        parts = small.union(big.select("shard", "x.h", "x.a", "fp", "x.home", "wide"))
+
+    def compare(batches):
+        for t in common.whole_groups(batches, "task", 1 << 16):
+            fp, task = t.column("fp").to_numpy(), t.column("task").to_numpy()
+            wide = t.column("wide").combine_chunks()
+            wide = pa.concat_arrays(wide.chunks) if isinstance(wide, pa.ChunkedArray) else wide
+            bits = np.ascontiguousarray(wide.flatten().to_numpy().view(np.uint64).reshape(len(fp), -1))
+            a, b = close_pairs(task, bits, t.column("home").to_numpy(zero_copy_only=False), limit)
+            keep = fp[a] != fp[b]
+            yield from pa.table({"u": fp[a][keep], "v": fp[b][keep]}).to_batches()
+
+    task = F.xxhash64("shard", "h", "a")  # two shards in one task value would only be compared too
+    return (
+        parts.select(task.alias("task"), "fp", "home", "wide").repartition("task").sortWithinPartitions("task").mapInArrow(compare, "u long, v long")
+    )
 
 
 def place(distinct: DataFrame, radius: int, blocks: int, home_rows: int, max_leaves: int, seed: int) -> DataFrame:
@@ -242,6 +265,12 @@ def place(distinct: DataFrame, radius: int, blocks: int, home_rows: int, max_lea
     return distinct.select("fp").mapInArrow(run, "shard long, fp long, home boolean")
 
 
+def crowded_shards(placed: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """shard, nh, na for the shards of placed (shard, home) that overflow a chunk."""
+    chunks = lambda n: F.ceil(n / chunk_rows).cast("int")
+    return placed.groupBy("shard").agg(chunks(F.sum(F.col("home").cast("int"))).alias("nh"), chunks(F.count("*")).alias("na")).where("na > 1")
+
+
 def components(
     docs: DataFrame,
     shingle: int = 4,
@@ -255,7 +284,7 @@ def components(
     fps = common.written(fingerprints(docs, shingle), "fingerprints")
     first = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     placed = place(first, radius, blocks, home_rows, max_leaves, seed)
-    links = links_in_shards(placed, radius, max_shards=blocks * max_leaves)
+    links = links_in_shards(placed.withColumn("wide", F.array("fp")), crowded_shards(placed), radius)
     return _named(fps, first, common.connected_components(links))
 
 
@@ -292,10 +321,8 @@ def similar_groups(
         for w in range(words)
         for k in range(per_word)
     ]
-    spread = first.select(F.explode(F.array(*bands)).alias("shard"), "fp")
-    crowd = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
-    placed = spread.join(crowd, "shard", "left_semi").join(first.select("fp", "wide"), "fp").withColumn("home", F.lit(True))
-    links = links_in_shards(placed.select("shard", "fp", "home", "wide"), limit)
+    spread = first.select(F.explode(F.array(*bands)).alias("shard"), "fp", "wide", F.lit(True).alias("home"))
+    links = links_in_shards(spread, crowded_shards(spread.select("shard", "home")), limit)
     return _named(fps.select("doc_id", "fp"), first.select("fp", "first_id"), common.connected_components(links))
 
 
