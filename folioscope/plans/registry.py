@@ -1,6 +1,431 @@
-"""Every query of the library, by name, with the SQL that must give the same rows."""
+"""Every query of the library, by name, with the SQL that must give the same rows.
+
+The tables stand in for a document library: a document is a passage, its source a paper, a benchmark item a question
+whose answer is the passage that holds it, and lineitem a graph of suppliers and parts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as tx
+from folioscope.operators import biblio, evidence, graph, passages, retrieval
+from folioscope.sources import tables
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def docs(s: SparkSession, d: str) -> DataFrame:
+    return tables.table(s, d, "documents")
+
+
+def questions(s: SparkSession, d: str) -> DataFrame:
+    return tables.table(s, d, "benchmark").select(F.col("item_id").alias("q"), "text")
+
+
+TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+POST = f"""
+tok AS (SELECT doc_id, unnest({TOK}) AS term FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+dl AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN post p USING (doc_id) GROUP BY 1),
+stats AS (SELECT count(*) AS n_docs, sum(dl) AS n_tokens, sum(dl) / count(*) AS avgdl FROM dl),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+raw AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+qt AS (SELECT q, term, count(*) AS qtf FROM (SELECT item_id AS q, unnest({TOK}) AS term FROM benchmark) GROUP BY 1, 2),
+sc AS (SELECT q, p.doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM post p JOIN qt USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = p.doc_id, stats GROUP BY 1, 2),
+bm AS (SELECT * FROM (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc WHERE score > 0) WHERE rank <= 8)"""
+FUSED = f"""{POST},
+ov AS (SELECT * FROM (SELECT q, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, doc_id) AS rank, doc_id
+       FROM post JOIN qt USING (term) GROUP BY q, doc_id) WHERE rank <= 8),
+ch AS (SELECT q, doc_id, rank, 0 AS no, 'bm25' AS channel FROM bm UNION ALL SELECT q, doc_id, rank, 1, 'overlap' FROM ov),
+fu AS (SELECT q, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score, min(no * 1000 + rank) AS f, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM ch GROUP BY 1, 2),
+fused AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, f, doc_id) AS rank, doc_id, score, channels FROM fu)"""
+
+
+@query(f"SELECT doc_id, len({TOK})::BIGINT AS n_tokens FROM documents")
+def tokens_per_doc(s, d):
+    return docs(s, d).select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {POST} SELECT term, df FROM dfs")
+def term_df(s, d):
+    return retrieval.term_df(retrieval.postings(docs(s, d), "doc_id"))
+
+
+@query(f"WITH {POST} SELECT n_docs, n_tokens::BIGINT AS n_tokens, round(avgdl, 6) AS avgdl FROM stats")
+def corpus_stats(s, d):
+    return retrieval.corpus_stats(retrieval.postings(docs(s, d), "doc_id"), "doc_id").withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query(f"WITH {POST} SELECT q, rank, doc_id, score FROM bm")
+def bm25_topk(s, d):
+    return retrieval.bm25(docs(s, d), questions(s, d))
+
+
+@query("""
+WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q)
+SELECT * FROM (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s) WHERE rank <= 8""")
+def dense_topk(s, d):
+    e = tables.table(s, d, "embeddings")
+    return retrieval.dense_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding"))
+
+
+def fused(s, d):
+    q = questions(s, d)
+    return retrieval.rrf([("bm25", retrieval.bm25(docs(s, d), q)), ("overlap", retrieval.overlap(docs(s, d), q))])
+
+
+@query(f"WITH {FUSED} SELECT q, rank, doc_id, score, channels FROM fused")
+def rrf_fused(s, d):
+    return fused(s, d)
+
+
+@query(f"""WITH {FUSED},
+p AS (SELECT fused.*, source, row_number() OVER (PARTITION BY q, source ORDER BY rank) AS place FROM fused JOIN documents USING (doc_id))
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY place > 2, rank) AS rank, doc_id, source FROM p""")
+def source_capped(s, d):
+    ranked = fused(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id")
+    return retrieval.cap_per_source(ranked, 2).select("q", "rank", "doc_id", "source")
+
+
+CHUNKS = """
+ch AS (SELECT source, doc_id, text, row_number() OVER w - 1 AS chunk_index,
+  coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_start
+  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+chunks AS (SELECT *, source || '-chunk-' || chunk_index AS id, doc_start + length(text) AS doc_end FROM ch),
+chain AS (SELECT *, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM chunks WINDOW w AS (PARTITION BY source ORDER BY doc_id))"""
+
+
+def chunked(s, d):
+    return passages.chunk_records(docs(s, d).select("source", F.col("doc_id").alias("seq"), "text"))
+
+
+@query(f"WITH {CHUNKS} SELECT source, chunk_index, id, prev_id, next_id, doc_start, doc_end FROM chain")
+def chunk_records(s, d):
+    return chunked(s, d).select("source", "chunk_index", "id", "prev_id", "next_id", "doc_start", "doc_end")
+
+
+NEAR = f"""WITH {POST}, {CHUNKS},
+hit AS (SELECT q, rank, id, prev_id, next_id FROM bm JOIN chain USING (doc_id)),
+want AS (SELECT q, id, min(f) AS f FROM (SELECT q, prev_id AS id, rank * 2 AS f FROM hit UNION ALL SELECT q, next_id, rank * 2 + 1 FROM hit) WHERE id IS NOT NULL GROUP BY 1, 2)"""
+
+
+def near(s, d):
+    chain = chunked(s, d)
+    hits = retrieval.bm25(docs(s, d), questions(s, d)).join(chain.select(F.col("seq").alias("doc_id"), "id"), "doc_id").select("q", "rank", "id")
+    return retrieval.neighbours(hits, chain).join(chain.select("id", F.length("text").alias("size")), "id")
+
+
+@query(f"{NEAR} SELECT q, id FROM want w WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.q = w.q AND h.id = w.id)")
+def neighbour_ids(s, d):
+    return near(s, d).select("q", "id")
+
+
+@query()
+def neighbour_budget(s, d):
+    return retrieval.within_budget(near(s, d), 24000).select("q", F.array_join("taken", ",").alias("taken"))
+
+
+#: Replies of a reranker, with prose, repeats and numbers out of range.
+REPLIES = [(1, "[3, 1, 2]"), (2, "I think [2, 1] is best"), (3, "sorry"), (4, "[99, 2, 2, 0, 1]"), (5, "[3]")]
+
+
+@query("""
+WITH p AS (SELECT q, rank, 'p' || rank AS id FROM range(1, 6) a(q), range(1, 4) b(rank)),
+r AS (SELECT * FROM (VALUES (1, 3, 0), (1, 1, 1), (1, 2, 2), (2, 2, 0), (2, 1, 1), (4, 2, 1), (4, 1, 4), (5, 3, 0)) t(q, rank, pos)),
+o AS (SELECT p.q, id, pos, row_number() OVER (PARTITION BY p.q ORDER BY pos IS NULL, pos, rank) AS place FROM p LEFT JOIN r USING (q, rank))
+SELECT q::INTEGER AS q, place, id, CASE WHEN pos IS NULL THEN NULL ELSE 1.0::DOUBLE / (1 + pos) END AS score FROM o WHERE place <= 2""")
+def rerank_applied(s, d):
+    rows = s.range(1, 6).select(F.col("id").cast("int").alias("q")).crossJoin(s.range(1, 4).select(F.col("id").cast("int").alias("rank")))
+    ranked = rows.withColumn("id", F.concat(F.lit("p"), "rank"))
+    return retrieval.reranked(ranked, s.createDataFrame(REPLIES, "q int, reply string"), limit=2, least=2)
+
+
+LINES = """ln AS (SELECT doc_id AS key, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents),
+sn AS (SELECT *, CASE WHEN regexp_matches(lag(text) OVER w, '\\p{L}-$') AND regexp_matches(text, '^\\p{Ll}') THEN 0 ELSE 1 END AS new FROM ln WINDOW w AS (PARTITION BY key ORDER BY pos)),
+sg AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY pos) AS line_no FROM sn),
+sl AS (SELECT *, max(pos) OVER (PARTITION BY key, line_no) AS last FROM sg),
+sp AS (SELECT key, line_no, string_agg(CASE WHEN pos < last THEN regexp_replace(text, '-$', '') ELSE text END, '' ORDER BY pos) AS text FROM sl GROUP BY 1, 2)"""
+
+
+def lines(s, d):
+    return passages.spliced(docs(s, d).select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "text")))
+
+
+@query(f"WITH {LINES} SELECT key, line_no::BIGINT AS line_no, md5(text) AS text_md5 FROM sp")
+def spliced_lines(s, d):
+    return lines(s, d).select("key", "line_no", F.md5("text").alias("text_md5"))
+
+
+@query(rf"""WITH {LINES},
+o AS (SELECT *, CASE WHEN regexp_matches(lag(text) OVER w, '[.!?:;][''")\]]?\s*$') AND regexp_matches(text, '^\p{{Lu}}') THEN 1 ELSE 0 END AS new FROM sp WINDOW w AS (PARTITION BY key ORDER BY line_no)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY line_no) AS para_no FROM o)
+SELECT key, para_no::BIGINT AS para_no, md5(string_agg(text, ' ' ORDER BY line_no)) AS text_md5 FROM g GROUP BY 1, 2""")
+def reflowed_paragraphs(s, d):
+    return passages.paragraphs(lines(s, d)).select("key", "para_no", F.md5("text").alias("text_md5"))
+
+
+@query(r"""SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_papers, count(*) FILTER (regexp_matches(text, '\p{Ll}-\n\p{Ll}')) AS hyphen_breaks,
+count(*) FILTER (regexp_matches(text, '^\p{Ll}')) AS mid_sentence, count(*) FILTER (length(text) < 120) AS orphans, round_even(avg(length(text)), 0)::BIGINT AS mean_size,
+round_even(median(length(text)), 0)::BIGINT AS median_size, max(length(text))::BIGINT AS max_size FROM documents""")
+def chunk_health(s, d):
+    return passages.health(docs(s, d))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def content_histogram(s, d):
+    return docs(s, d).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query()
+def split_pieces(s, d):
+    pieces = docs(s, d).select("doc_id", F.posexplode(passages.split_long(4000)(F.col("text"))).alias("piece", "text"))
+    return pieces.select("doc_id", "piece", F.length("text").alias("n_chars"))
+
+
+HITS = f"""WITH {POST}, hit AS (SELECT bm.q, bm.rank FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.q AND contains(d.text, b.text)),
+f AS (SELECT b.item_id AS q, min(rank) AS first FROM benchmark b LEFT JOIN hit ON hit.q = b.item_id GROUP BY 1)"""
+
+
+def results(s, d):
+    hit = F.col("text").contains(F.col("wanted"))
+    ranked = retrieval.bm25(docs(s, d), questions(s, d)).join(docs(s, d).select("doc_id", "text"), "doc_id")
+    return ranked.join(questions(s, d).withColumnRenamed("text", "wanted"), "q").select("q", "rank", hit.alias("hit"))
+
+
+@query(f"""{HITS} SELECT count(*) AS n, count(first) AS hits, round(count(first) / greatest(count(*), 1), 3) AS recall,
+round(sum(coalesce(1.0::DOUBLE / first, 0)) / greatest(count(*), 1), 3) AS mrr FROM f""")
+def recall_mrr(s, d):
+    return evidence.retrieval_metrics(questions(s, d), results(s, d))
+
+
+@query(f"{HITS} SELECT q FROM f WHERE first IS NULL")
+def misses(s, d):
+    return questions(s, d).select("q").join(results(s, d).where("hit"), "q", "left_anti")
+
+
+JUDGED = "CASE WHEN toxic = 1 AND quality = 1 THEN 'fabricated' WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported' ELSE 'partial' END"
+
+
+def judged(s, d):
+    return tables.table(s, d, "labels").withColumn("verdict", F.expr(JUDGED))
+
+
+@query(f"SELECT verdict, count(*) AS n, verdict IN ('unsupported', 'fabricated', 'partial') AS flagged FROM (SELECT {JUDGED} AS verdict FROM labels) GROUP BY 1, 3")
+def verdict_counts(s, d):
+    return evidence.verdicts(judged(s, d))
+
+
+@query(f"""SELECT count(*) AS n, round(count(*) FILTER (verdict <> 'fabricated') / nullif(count(*), 0), 3) AS quote_rate,
+round(count(*) FILTER (verdict = 'supported') / nullif(count(*) FILTER (verdict <> 'fabricated'), 0), 3) AS support_rate FROM (SELECT {JUDGED} AS verdict FROM labels)""")
+def answer_summary(s, d):
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    return judged(s, d).agg(
+        F.count("*").alias("n"),
+        evidence.rate(n("verdict <> 'fabricated'"), F.count("*")).alias("quote_rate"),
+        evidence.rate(n("verdict = 'supported'"), n("verdict <> 'fabricated'")).alias("support_rate"),
+    )
+
+
+@query("""SELECT item_id AS quote_id, doc_id, instr(d.text, b.quote) - 1 AS start, instr(d.text, b.quote) - 1 + length(b.quote) AS "end"
+FROM documents d JOIN (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark) b ON contains(d.text, b.quote)""")
+def quote_exact(s, d):
+    quotes = tables.table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.substring("text", 1, 60).alias("quote"))
+    return evidence.located(quotes, docs(s, d).select("doc_id", "text"))
+
+
+@query()
+def quote_flexible(s, d):
+    found = quote_exact(s, d).join(docs(s, d).select("doc_id", "text"), "doc_id")
+    spaced = found.withColumn("quote", F.regexp_replace(F.upper(F.expr("substring(text, start + 1, end - start)")), " ", "  "))
+    place = evidence.flexible_place()(F.col("quote"), F.col("text"))
+    return spaced.select("quote_id", "doc_id", place.alias("p")).select("quote_id", "doc_id", "p.start", "p.end", "p.exact")
+
+
+#: Answers with citations of known and unknown passages.
+ANSWERS = [
+    (1, 'It holds [a-chunk-2 "the first quote"]. It also holds [b-chunk-1] and [a-chunk-2]. Unknown [z-chunk-9].'),
+    (2, "No citation here. But (see [b-chunk-1])."),
+]
+KNOWN = [("a-chunk-2",), ("b-chunk-1",)]
+
+
+@query("SELECT * FROM (VALUES (1, 1, 'a-chunk-2'), (1, 2, 'b-chunk-1'), (2, 1, 'b-chunk-1')) t(answer_id, number, id)")
+def used_citations(s, d):
+    return evidence.used_citations(s.createDataFrame(ANSWERS, "answer_id int, answer string"), s.createDataFrame(KNOWN, "id string"))
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 1), (1, 1, 2), (1, 2, 1), (2, 0, 0), (2, 1, 1)) t(answer_id, pos, n_cited)""")
+def claims(s, d):
+    found = evidence.claims(s.createDataFrame(ANSWERS, "answer_id int, answer string"))
+    return found.select("answer_id", "pos", F.size("cited").alias("n_cited"))
+
+
+@query("""WITH s AS (SELECT source AS topic, doc_id AS paper, 2000 + doc_id % 25 AS year, toxic FROM documents JOIN labels USING (doc_id))
+SELECT topic, count(DISTINCT paper) FILTER (toxic = 0) AS n_support, count(DISTINCT paper) FILTER (toxic = 1) AS n_against,
+coalesce(min(year) FILTER (toxic = 1) > max(year) FILTER (toxic = 0), false) AS newer FROM s GROUP BY 1 HAVING count(DISTINCT paper) FILTER (toxic = 1) > 0""")
+def stance_split(s, d):
+    rows = docs(s, d).join(tables.table(s, d, "labels"), "doc_id")
+    stance = F.when(F.col("toxic") == 1, "contradicts").when(F.col("toxic") == 0, "supports")
+    return evidence.stance_split(rows.select(F.col("source").alias("topic"), F.col("doc_id").alias("paper"), (2000 + F.col("doc_id") % 25).alias("year"), stance.alias("stance")))
+
+
+@query(f"""WITH w AS (SELECT source AS title, doc_id AS pos, CASE WHEN v = 'fabricated' THEN 'retracted' WHEN v = 'unsupported' THEN 'unverified' END AS warning
+FROM (SELECT source, doc_id, {JUDGED} AS v FROM documents JOIN labels USING (doc_id)))
+SELECT title, pos, warning FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY pos) AS k FROM w WHERE warning IS NOT NULL) WHERE k = 1""")
+def warnings_first(s, d):
+    warning = F.when(F.col("verdict") == "fabricated", "retracted").when(F.col("verdict") == "unsupported", "unverified")
+    rows = docs(s, d).select("doc_id", "source").join(judged(s, d), "doc_id")
+    return evidence.first_per_title(rows.select(F.col("source").alias("title"), F.col("doc_id").alias("pos"), warning.alias("warning")))
+
+
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE trim(text, ' ') <> '')
+SELECT conv_id, md5(string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || ' …' ELSE text END, chr(10) ORDER BY turn)) AS history_md5
+FROM m WHERE k <= 6 GROUP BY 1""")
+def history_window(s, d):
+    return evidence.history_window(tables.table(s, d, "conversations")).select("conv_id", F.md5("history").alias("history_md5"))
+
+
+@query("SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY 1 HAVING max_by(role, turn) = 'user'")
+def last_user_turn(s, d):
+    last = tables.table(s, d, "conversations").groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("m"))
+    return last.where("m.role = 'user'").select("conv_id", "m.text")
+
+
+SPANS = "SELECT l_orderkey AS key, (l_partkey % 90 - 5)::BIGINT AS s, (l_partkey % 90 - 5 + l_quantity % 20)::BIGINT AS e FROM lineitem"
+
+
+@query(f"""WITH c AS (SELECT key, greatest(s, 0) AS s, least(e, 80) AS e FROM ({SPANS})), f AS (SELECT * FROM c WHERE e > s),
+r AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT key, min(s) AS start, max(e) AS "end" FROM i GROUP BY key, island""")
+def highlight_segments(s, d):
+    at = F.col("l_partkey") % 90 - 5
+    spans = tables.table(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), at.alias("start"), (at + F.col("l_quantity") % 20).cast("long").alias("end"), F.lit(80).cast("long").alias("length"))
+    return evidence.merged_spans(spans)
+
+
+EDGES = """e AS (SELECT source, target, arg_max(relation, ord) AS relation, arg_max(score, ord) AS score FROM (
+  SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_returnflag || l_linestatus AS relation, l_discount AS score, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) GROUP BY 1, 2),
+dg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
+sd AS (SELECT node FROM dg JOIN (SELECT 's' || s_suppkey AS node, s_nationkey % 3 AS overlap FROM supplier) USING (node) ORDER BY overlap DESC, degree DESC, node LIMIT 6),
+nb AS (SELECT DISTINCT target AS node FROM (SELECT source, target FROM e UNION ALL SELECT target, source FROM e) WHERE source IN (FROM sd) AND target NOT IN (FROM sd))"""
+
+
+def edges(s, d):
+    raw = tables.table(s, d, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"),
+        F.concat("l_returnflag", "l_linestatus").alias("relation"), F.col("l_discount").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+    )
+    return graph.merged_edges(raw)
+
+
+def seed_nodes(s, d):
+    overlap = tables.table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), (F.col("s_nationkey") % 3).alias("overlap"))
+    return graph.seeds(graph.degrees(edges(s, d)), overlap)
+
+
+@query(f"WITH {EDGES} SELECT * FROM e")
+def merged_edges(s, d):
+    return edges(s, d)
+
+
+@query(f"WITH {EDGES} SELECT * FROM dg")
+def degrees(s, d):
+    return graph.degrees(edges(s, d))
+
+
+@query(f"WITH {EDGES} SELECT * FROM sd")
+def seeds(s, d):
+    return seed_nodes(s, d)
+
+
+@query(f"WITH {EDGES} SELECT * FROM nb")
+def neighbours(s, d):
+    return graph.neighbours(edges(s, d), seed_nodes(s, d))
+
+
+@query(f"WITH {EDGES} SELECT node, degree FROM nb JOIN dg USING (node) ORDER BY degree DESC, node LIMIT 8")
+def expansion_terms(s, d):
+    return graph.expansion(edges(s, d), seed_nodes(s, d))
+
+
+@query(f"WITH {EDGES} SELECT * FROM e WHERE source IN (FROM sd) OR target IN (FROM sd) ORDER BY relation IN ('AF'), score DESC, source, target LIMIT 12")
+def facts(s, d):
+    return graph.facts(edges(s, d), seed_nodes(s, d), ["AF"])
+
+
+@query("""SELECT p_brand AS node, arg_min(p_name, p_partkey) AS label, count(DISTINCT p_type) AS n_papers, array_to_string(list_sort(list(DISTINCT p_type)), '|') AS papers FROM part GROUP BY 1""")
+def merged_nodes(s, d):
+    rows = tables.table(s, d, "part").select(F.col("p_brand").alias("node"), F.col("p_name").alias("label"), F.col("p_type").alias("paper"), F.col("p_partkey").alias("ord"))
+    return graph.merged_nodes(rows).select("node", "label", "n_papers", F.array_join("papers", "|").alias("papers"))
+
+
+@query("""WITH o AS (SELECT DISTINCT p_type AS paper, p_brand AS label FROM part)
+SELECT x.paper AS a, y.paper AS b, count(*) AS n, string_agg(x.label, '|' ORDER BY x.label) AS concepts FROM o x JOIN o y ON x.label = y.label AND x.paper < y.paper GROUP BY 1, 2""")
+def shared_concepts(s, d):
+    return graph.shared_concepts(tables.table(s, d, "part").select(F.col("p_type").alias("paper"), F.col("p_brand").alias("label")))
+
+
+@query("SELECT * FROM (VALUES ('bert', 'transformer'), ('draft', 'transformer')) t(citing, cited)")
+def citation_edges(s, d):
+    rows = [("transformer", 1, "W1", ["W1"]), ("bert", 2, "W2", ["W1", "W999"]), ("draft", 3, None, ["W1"])]
+    return graph.citation_edges(s.createDataFrame(rows, "paper string, ord int, own_id string, reference_ids array<string>"))
+
+
+SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT 'b' || item_id AS stem, {SQUASH.format("substr(text, 1, 40)")} AS name FROM benchmark), x AS (SELECT 'd' || doc_id AS stem, {SQUASH.format("text")} AS body FROM documents)
+SELECT DISTINCT x.stem AS citing, t.stem AS cited FROM x JOIN t ON length(name) >= 12 AND contains(body, name)""")
+def title_citations(s, d):
+    titles = tables.table(s, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("stem"), tx.squash(F.substring("text", 1, 40)).alias("name"))
+    return graph.title_citations(docs(s, d).select(F.concat(F.lit("d"), "doc_id").alias("stem"), tx.squash(F.col("text")).alias("squashed")), titles)
+
+
+IDS = [("https://arxiv.org/abs/1706.03762v7",), ("arXiv:2005.14165",), ("see arxiv.org/pdf/cs/0112017",), ("10.1000/xyz.123). done",), ("doi 10.48550/arXiv.1706.03762",), ("none",)]
+
+
+@query("""SELECT * FROM (VALUES ('https://arxiv.org/abs/1706.03762v7', '1706.03762v7', NULL), ('arXiv:2005.14165', '2005.14165', NULL), ('see arxiv.org/pdf/cs/0112017', 'cs/0112017', NULL),
+('10.1000/xyz.123). done', NULL, '10.1000/xyz.123'), ('doi 10.48550/arXiv.1706.03762', NULL, NULL), ('none', NULL, NULL)) t(text, arxiv_id, doi)""")
+def identifiers(s, d):
+    return s.createDataFrame(IDS, "text string").select("text", tx.arxiv_id(F.col("text")).alias("arxiv_id"), tx.doi(F.col("text")).alias("doi"))
+
+
+@query()
+def bibtex(s, d):
+    rows = [("Ashish Vaswani", 2017, "Attention Is All You Need", "NeurIPS", None, "1706.03762"), ("Jo Brown", 2020, "Some 50% & more", "Nature", "10.1/x_y", None), (None, None, None, None, None, None)]
+    c = ["author", "year", "title", "venue", "doi", "arxiv"]
+    return s.createDataFrame(rows, "author string, year int, title string, venue string, doi string, arxiv string").select(biblio.bibtex(*map(F.col, c)).alias("entry"))
+
+
+@query("""SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS label FROM documents WHERE NOT contains(substr(text, 1, 80), '(')""")
+def norm_labels(s, d):
+    head = F.substring("text", 1, 80)
+    return docs(s, d).where(~head.contains("(")).select("doc_id", tx.norm_label(head).alias("label"))
+
+
+@query("SELECT source, coalesce(arg_min(nullif(substr(text, 1, 30), ''), doc_id), source) AS title FROM documents GROUP BY 1")
+def library(s, d):
+    return tables.library(docs(s, d).select("source", F.substring("text", 1, 30).alias("title"), F.col("doc_id").alias("ord")))
+
+
+@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 100)")
+def new_files_only(s, d):
+    own = docs(s, d).withColumn("file_hash", F.md5("text"))
+    return tables.unseen(own, own.where("doc_id < 100")).select("doc_id")
