@@ -151,5 +151,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
 
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that leaks() did not find."""
-    bad = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    bad = found.select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak_id")) & (F.xxhash64("text") == F.col("__leak_hash")), "left_anti")

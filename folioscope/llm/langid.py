@@ -11,7 +11,7 @@ of doc_id), and refuses more than `max_langs` languages; both bounds keep the dr
 
 Defined results: a text that is null or has no letter gets `und` with score 0; if nothing could be
 learned, every text does. Rows with a null label, null id or no letter are not learned from. Repeated
-rows get equal results; other columns are ignored; an empty table gives an empty result.
+rows get equal results; other columns pass through, but for those of the results' names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,6 +143,8 @@ def fit(labelled: DataFrame, max_docs: int = 1600, max_langs: int = 400) -> Mode
 def predict(docs: DataFrame, model: Model, lead: float = 0.1) -> DataFrame:
     """All columns of docs with lang_pred, lang_score and lang_ambiguous after them; needs a column text."""
     table, letter = byte_table(), regex.compile(r"\p{L}")
+    new = ("lang_pred", "lang_score", "lang_ambiguous")
+    docs = docs.drop(*new)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -156,7 +158,7 @@ def predict(docs: DataFrame, model: Model, lead: float = 0.1) -> DataFrame:
                 for i, j, s, d in zip(part, best.tolist(), top.tolist(), ahead.tolist(), strict=True):
                     pred[i], score[i], doubt[i] = model.langs[j], s, d < lead
             cols = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "lang_score", "lang_ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, lang_ambiguous boolean")

@@ -210,15 +210,15 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised and n_found, the number of values that were replaced, after the other columns."""
     names = [c for c in docs.columns if c not in ("text", "n_found")]
     some = F.col("text").rlike("[0-9@]")
-    found = docs.select(*names, "text", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_found"))
+    found = docs.select(*names, "text", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("__pii_found"))
     new = found.select(
         *names,
         "text",
-        F.when(F.size("_found") > 0, F.split("text", ANY, -1)).alias("_between"),
-        F.when(F.size("_found") > 0, F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))).alias("_new"),
+        F.when(F.size("__pii_found") > 0, F.split("text", ANY, -1)).alias("__pii_between"),
+        F.when(F.size("__pii_found") > 0, F.transform("__pii_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))).alias("__pii_new"),
     )
     joined = F.array_join(
-        F.transform("_between", lambda b, i: F.concat(b, F.coalesce(F.get("_new", i)["new"], F.get("_new", i)["old"], F.lit("")))), ""
+        F.transform("__pii_between", lambda b, i: F.concat(b, F.coalesce(F.get("__pii_new", i)["new"], F.get("__pii_new", i)["old"], F.lit("")))), ""
     )
-    count = F.size(F.filter("_new", lambda x: x["new"].isNotNull()))
-    return new.select(*names, F.coalesce(joined, F.col("text")).alias("text"), F.when(F.col("_new").isNull(), 0).otherwise(count).alias("n_found"))
+    count = F.size(F.filter("__pii_new", lambda x: x["new"].isNotNull()))
+    return new.select(*names, F.coalesce(joined, F.col("text")).alias("text"), F.when(F.col("__pii_new").isNull(), 0).otherwise(count).alias("n_found"))

@@ -121,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_chars: int
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """All columns of docs with the toxicity (0 to 1) of their text after them."""
+    docs = docs.drop(column)
     at = docs.columns.index("text")
     word = re.compile(r"\w+")
 
