@@ -12,8 +12,8 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
-    """source, target, relation, score: one edge per pair, the last (by ord) wins; loops go."""
-    last = F.max_by(F.struct("relation", "score"), "ord")
+    """source, target, relation, score: one edge per pair, the last (by ord, then relation and score) wins; loops go."""
+    last = F.max(F.struct("ord", "relation", "score"))
     return edges.where("source <> target").groupBy("source", "target").agg(last.alias("e")).select("source", "target", "e.relation", "e.score")
 
 

@@ -320,8 +320,8 @@ def highlight_segments(s, d):
     return evidence.merged_spans(spans)
 
 
-EDGES = """e AS (SELECT source, target, arg_max(relation, ord) AS relation, arg_max(score, ord) AS score FROM (
-  SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_returnflag || l_linestatus AS relation, l_discount AS score, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) GROUP BY 1, 2),
+EDGES = """e AS (SELECT source, target, relation, score FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY ord DESC, relation DESC, score DESC) AS k FROM (
+  SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_returnflag || l_linestatus AS relation, l_discount AS score, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)) WHERE k = 1),
 dg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
 sd AS (SELECT node FROM dg JOIN (SELECT 's' || s_suppkey AS node, s_nationkey % 3 AS overlap FROM supplier) USING (node) ORDER BY overlap DESC, degree DESC, node LIMIT 6),
 nb AS (SELECT DISTINCT target AS node FROM (SELECT source, target FROM e UNION ALL SELECT target, source FROM e) WHERE source IN (FROM sd) AND target NOT IN (FROM sd))"""
