@@ -68,7 +68,7 @@ def term_df(s, d):
 
 @query(f"WITH {POST} SELECT n_docs, n_tokens::BIGINT AS n_tokens, round(avgdl, 6) AS avgdl FROM stats")
 def corpus_stats(s, d):
-    return retrieval.corpus_stats(retrieval.postings(docs(s, d), "doc_id"), "doc_id").withColumn("avgdl", F.round("avgdl", 6))
+    return retrieval.corpus_stats(docs(s, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(f"WITH {POST} SELECT q, rank, doc_id, score FROM bm")
