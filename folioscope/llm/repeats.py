@@ -152,7 +152,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, ma
     )
     places = texts.select("k1", "k2", "m", F.explode("segs").alias("s")).select("k1", "k2", "m", "s.*")
     grams = places.groupBy("gram").agg(F.sum("m").alias("c"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("c > 1")
-    found = common.written(places.join(grams.select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "gram"), "places")
+    # As a table of its own the join's two sides are plain exchanges, so a hot gram's rows can be split.
+    grams = common.written(grams.select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "grams")
+    found = common.written(places.join(grams, "gram"), "places")
 
     sequences = found.where("not alike").groupBy("gram", "hash").agg(F.sum("m").alias("copies"), F.min(F.struct("k1", "k2", "start", "anchor", "n")).alias("at"))
     sequences = common.written(sequences.select("gram", "hash", "copies", "at.*"), "sequences")
