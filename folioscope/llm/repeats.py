@@ -162,17 +162,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, ma
     one_each = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     held = common.written(one_each.join(wanted, ["k1", "k2"], "left_semi"), "held")
 
-    spelled = sequences.join(held, ["k1", "k2"])
+    # One row per text, with the sequences to cut from it; their number is bounded by the text's length.
+    by_text = sequences.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "hash", "copies", "anchor", "start", "n")).alias("cuts"))
 
     def slice_out(batches):
-        for b in batches:
-            b = b.to_pydict()
-            got = [t.encode()[s : s + n + length - 1] for t, s, n in zip(b["text"], b["start"], b["n"], strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {"gram": pa.array(b["gram"], pa.int64()), "hash": pa.array(b["hash"], pa.int64()), "copies": pa.array(b["copies"], pa.int64()), "anchor": pa.array(b["anchor"], pa.int32()), "bytes": pa.array(got, pa.binary())}
-            )
-
-    spelled = spelled.select("gram", "hash", "copies", "anchor", "start", "n", "text").mapInArrow(slice_out, "gram long, hash long, copies long, anchor int, bytes binary")
+        for whole in batches:
+            for k in range(0, whole.num_rows, 32):
+                out = []
+                for cuts, text in zip(*(c.to_pylist() for c in whole.slice(k, 32).columns), strict=True):
+                    data = text.encode()
+                    out += [(c["gram"], c["hash"], c["copies"], c["anchor"], data[c["start"] : c["start"] + c["n"] + length - 1]) for c in cuts]
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["gram", "hash", "copies", "anchor", "bytes"])
+
+    cuts = by_text.join(held, ["k1", "k2"]).select("cuts", "text")
+    spelled = cuts.mapInArrow(slice_out, "gram long, hash long, copies long, anchor int, bytes binary")
     large = sequences.groupBy("gram").count().where(F.col("count") > max_group).select("gram")
     spelled = common.written(spelled.join(large.withColumn("crowded", F.lit(True)), "gram", "left"), "spelled")
 
