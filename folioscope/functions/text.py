@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,19 +39,43 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
+#: Identifiers of both arXiv schemes, with a version.
+ARXIV_ID = r"((?:\d{4}\.\d{4,5}|[a-zA-Z-]+(?:\.[a-zA-Z]{2})?/\d{7})(?:[vV]\d+)?)"
+
+
 def arxiv_id(text: Column) -> Column:
-    """The first arXiv identifier of either scheme, with its version if given; null if there is none."""
-    new, old = r"\d{4}\.\d{4,5}(?:v\d+)?", r"[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?"
-    return F.nullif(F.regexp_extract(text, rf"(?i:arxiv(?:\.org/(?:abs|pdf)/|:\s*))({new}|{old})", 1), F.lit(""))
+    """The first arXiv identifier of either scheme in a link, after `arXiv:` or bare, with its version if given; else null."""
+    return F.nullif(F.regexp_extract(text, ARXIV_ID, 1), F.lit(""))
+
+
+def stamped_arxiv_id(head: Column, name: Column) -> Column:
+    """The identifier that a paper's opening pages name, else the one that its file's name starts with; without a version."""
+    printed = F.nullif(F.regexp_extract(head, r"(?i)arxiv[:\s]*(\d{4}\.\d{4,5})", 1), F.lit(""))
+    return F.coalesce(printed, F.nullif(F.regexp_extract(name, r"^(\d{4}\.\d{4,5})", 1), F.lit("")))
 
 
 def doi(text: Column) -> Column:
-    """The first DOI that is not an arXiv one, without closing punctuation; null if there is none."""
-    found = F.regexp_extract(text, r"\b(10\.\d{4,9}/[^\s\"<>]+)", 1)
-    return F.when((found != "") & ~F.lower(found).startswith("10.48550"), F.regexp_replace(found, r"[.,;)]+$", ""))
+    """The first DOI, without closing punctuation; null if there is none or it is an arXiv one."""
+    found = F.regexp_extract(text, r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)\b", 1)
+    return F.when((found != "") & ~found.contains("10.48550"), F.regexp_replace(found, r"[.,;)]+$", ""))
+
+
+def nfkc():
+    """An Arrow function string -> string: compatibility composition, which the engine has no expression for."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return run
 
 
 def body_of(text: Column) -> Column:
     """A passage without its header, if that is shorter than 200 characters."""
     cut = F.locate("\n\n", text)
     return F.when((cut > 0) & (cut <= 200), F.substring(text, cut + 2, F.length(text))).otherwise(text)
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folders and the last extension."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CITATION = r"\[([A-Za-z0-9._-]+chunk-\d+)(?:\s+\"([^\"]{4,400})\")?\]"
@@ -18,18 +18,24 @@ def located(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def flexible_place():
-    """An Arrow function (quote, text) -> struct(start, end, exact): exact, else with any white space and letter case."""
-    def place(quote: str, text: str) -> dict | None:
+    """An Arrow function (quote, text) -> struct(start, end, exact): exact, else with any white space and letter case.
+
+    No place for a null or empty quote or text.
+    """
+    def place(quote: str | None, text: str | None) -> dict:
+        found = {"start": None, "end": None, "exact": None}
+        if not quote or not text:
+            return found
         at = text.find(quote)
         if at >= 0:
             return {"start": at, "end": at + len(quote), "exact": True}
         m = re.search(r"\s+".join(map(re.escape, quote.split())), text, re.I)
-        return {"start": m.start(), "end": m.end(), "exact": False} if m else None
+        return {"start": m.start(), "end": m.end(), "exact": False} if m else found
 
     @F.pandas_udf("start int, end int, exact boolean")
     def run(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
-        found = [place(q, t) or {"start": None, "end": None, "exact": None} for q, t in zip(quote, text, strict=True)]
-        return pd.DataFrame(found, columns=["start", "end", "exact"])
+        rows = [place(q, t) for q, t in zip(quote, text, strict=True)]
+        return pd.DataFrame(rows, columns=["start", "end", "exact"]).astype({"start": "Int32", "end": "Int32", "exact": "boolean"})
 
     return run
 
@@ -40,6 +46,136 @@ def claims(answers: DataFrame) -> DataFrame:
     return parts.where("text <> ''").withColumn("cited", F.regexp_extract_all("text", F.lit(CITATION), F.lit(1)))
 
 
+def claim_spans(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """answer_id, pos, text, spans, verdict, reason of answers (answer_id, answer) and what each retrieved (answer_id, id, text, doc_start).
+
+    A claim with a quote that its passage does not hold, or with a passage that was not retrieved, is fabricated (the last
+    such reason stands); any other is unchecked. A citation without a quote makes no span. Offsets of the document count
+    from the passage's start there.
+    """
+    sentences = claims(answers).drop("cited")
+    pairs = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(CITATION), F.lit(g)).alias(n) for g, n in ((1, "id"), (2, "quote"))])
+    cited = sentences.select("answer_id", "pos", "text", F.posexplode_outer(pairs).alias("cite_no", "c"))
+    known = retrieved.dropDuplicates(["answer_id", "id"]).select(
+        F.col("answer_id").alias("_a"), F.col("id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("doc_start", F.lit(0)).cast("long").alias("_at")
+    )
+    met = cited.join(known, (F.col("answer_id") == F.col("_a")) & (F.col("c.id") == F.col("_id")), "left").withColumn("p", flexible_place()(F.col("c.quote"), F.col("_text")))
+    unknown, missing = F.col("c.id").isNotNull() & F.col("_id").isNull(), (F.col("c.quote") != "") & F.col("p.start").isNull()
+    reason = F.when(unknown, F.concat(F.lit("cites "), F.col("c.id"), F.lit(", which was not retrieved"))).when(missing, "quoted text does not appear in the cited passage")
+    span = F.when(
+        F.col("p.start").isNotNull(),
+        F.struct(
+            F.col("c.id").alias("chunk_id"), F.col("c.quote").alias("quote"), F.col("p.start").alias("start"), F.col("p.end").alias("end"),
+            (F.col("_at") + F.col("p.start")).alias("doc_start"), (F.col("_at") + F.col("p.end")).alias("doc_end"), F.col("p.exact").alias("exact"),
+        ),
+    )
+    rows = met.select("answer_id", "pos", "text", F.struct("cite_no", span.alias("span"), reason.alias("reason")).alias("r"))
+    merged = rows.groupBy("answer_id", "pos", "text").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    wrong = F.array_compact(F.transform("r", lambda x: x["reason"]))
+    return merged.select(
+        "answer_id", "pos", "text", F.array_compact(F.transform("r", lambda x: x["span"])).alias("spans"),
+        F.when(F.size(wrong) > 0, "fabricated").otherwise("unchecked").alias("verdict"), F.coalesce(F.try_element_at(wrong, F.lit(-1)), F.lit("")).alias("reason"),
+    )
+
+
+#: A judge's reply, what it may say, and how many claims it is asked about.
+REPLY = "array<struct<n:string,verdict:string,why:string>>"
+JUDGEMENTS, JUDGED_MOST, REASON_CHARS = ("supported", "partial", "unsupported"), 12, 120
+
+
+def listed(reply: Column, schema: str) -> Column:
+    """The list in a model's reply, from the first opening to the last closing bracket; null if there is none."""
+    return F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), schema)
+
+
+def judged_claims(found: DataFrame, replies: DataFrame, most: int = JUDGED_MOST) -> DataFrame:
+    """The claims of claim_spans with the verdicts of replies (answer_id, reply).
+
+    Asked about are an answer's first unchecked claims that have a span, numbered from 1. Of entries with one number the
+    last counts; one that is no verdict leaves the claim unchecked. A reply that can't be read changes nothing.
+    """
+    pending = (F.col("verdict") == "unchecked") & (F.size("spans") > 0)
+    asked = found.where(pending).withColumn("n", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos"))).where(F.col("n") <= most)
+    said = replies.select("answer_id", F.posexplode(listed(F.col("reply"), REPLY)).alias("at", "e")).select("answer_id", "at", F.expr("try_cast(e.n AS int)").alias("n"), "e.verdict", "e.why")
+    last = said.where("n is not null").groupBy("answer_id", "n").agg(F.max_by(F.struct("verdict", "why"), "at").alias("said"))
+    told = asked.select("answer_id", "pos", "n").join(last, ["answer_id", "n"]).drop("n")
+    verdict = F.lower(F.col("said.verdict"))
+    return found.join(told, ["answer_id", "pos"], "left").select(
+        "answer_id", "pos", "text", "spans",
+        F.when(F.col("said").isNull(), F.col("verdict")).when(verdict.isin(*JUDGEMENTS), verdict).otherwise("unchecked").alias("verdict"),
+        F.when(F.col("said").isNull(), F.col("reason")).otherwise(F.substring(F.coalesce("said.why", F.lit("")), 1, REASON_CHARS)).alias("reason"),
+    )
+
+
+def claim_summary(found: DataFrame, least: int = 40) -> DataFrame:
+    """answer_id, n_<verdict> each, n_uncited (unchecked, without a span, over `least` characters), flagged (in order) of judged claims."""
+    n = lambda c: F.count(F.when(c, 1))
+    bad = F.col("verdict").isin("unsupported", "fabricated", "partial")
+    entry = F.when(bad, F.struct("pos", "text", "verdict", "reason"))
+    bare = (F.size("spans") == 0) & (F.col("verdict") == "unchecked") & (F.length("text") > least)
+    return found.groupBy("answer_id").agg(
+        *[n(F.col("verdict") == v).alias(f"n_{v}") for v in (*JUDGEMENTS, "fabricated", "unchecked")],
+        n(bare).alias("n_uncited"),
+        F.array_sort(F.collect_list(entry)).alias("flagged"),
+    )
+
+
+def payload(found: DataFrame) -> DataFrame:
+    """answer_id, claims: a JSON list of an answer's claims in order, with the names that a browser expects."""
+    span = lambda x: F.struct(
+        x["chunk_id"].alias("chunkId"), x["quote"].alias("quote"), x["start"].alias("start"), x["end"].alias("end"),
+        x["doc_start"].alias("docStart"), x["doc_end"].alias("docEnd"), x["exact"].alias("exact"),
+    )
+    rows = found.select("answer_id", F.struct("pos", "text", "verdict", "reason", F.transform("spans", span).alias("spans")).alias("c"))
+    inner = lambda x: F.struct(*[x[k].alias(k) for k in ("text", "verdict", "reason", "spans")])
+    return rows.groupBy("answer_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list("c")), inner)).alias("claims"))
+
+
+def run_summary(rows: DataFrame) -> DataFrame:
+    """One row of figures over answers (verdicts array, bare_citations, cited_expected_evidence, error); those with an error only count as failed."""
+    fine = F.coalesce(F.col("error"), F.lit("")) == ""
+    of = lambda *names: F.coalesce(F.sum(F.when(fine, F.size(F.filter("verdicts", lambda v: v.isin(*names))))), F.lit(0))
+    sums = rows.agg(
+        F.count(F.when(fine, 1)).alias("scored"), F.count(F.when(~fine, 1)).alias("failed"), of(*JUDGEMENTS).alias("judged"), of("fabricated").alias("fabricated"),
+        of("supported").alias("supported"), F.coalesce(F.sum(F.when(fine, F.col("bare_citations"))), F.lit(0)).alias("bare_citations"),
+        F.count(F.when(fine & F.col("cited_expected_evidence"), 1)).alias("evidence"),
+    )
+    quotes = F.col("judged") + F.col("fabricated")
+    return sums.withColumns({"quote_rate": rate(F.col("judged"), quotes), "support_rate": rate(F.col("supported"), F.col("judged")), "evidence_rate": rate(F.col("evidence"), F.col("scored"))})
+
+
+def stances(passages: DataFrame, replies: DataFrame, most: int = 10) -> DataFrame:
+    """q, rank, id, stance, claim: passages (q, rank, id) with the stances of replies (q, reply); neutral where nothing readable is said."""
+    said = replies.select("q", F.posexplode(listed(F.col("reply"), "array<struct<n:string,stance:string,claim:string>>")).alias("at", "e"))
+    last = said.select("q", "at", F.expr("try_cast(e.n AS int)").alias("place"), "e.stance", "e.claim").groupBy("q", "place").agg(F.max_by(F.struct("stance", "claim"), "at").alias("s"))
+    placed = passages.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("rank")))
+    stance = F.lower(F.col("s.stance"))
+    told = F.when((F.col("place") <= most) & stance.isin("supports", "contradicts"), stance).otherwise("neutral")
+    claim = F.when(F.col("place") <= most, F.substring(F.coalesce("s.claim", F.lit("")), 1, REASON_CHARS)).otherwise("")
+    return placed.join(last, ["q", "place"], "left").select("q", "rank", "id", told.alias("stance"), F.coalesce(claim, F.lit("")).alias("claim"))
+
+
+def split_text(labelled: DataFrame, most: int = 4) -> DataFrame:
+    """q, block over labelled (q, rank, paper, year, stance, claim): the disagreement in words; no row where none pushes back. Year zero is unknown."""
+    side = lambda s: F.col("stance") == s
+    names = lambda s: F.array_sort(F.collect_set(F.when(side(s), F.col("paper"))))
+    year = lambda s: F.when(side(s) & (F.col("year") != 0), F.col("year"))
+    against = F.when(side("contradicts"), F.struct("rank", "paper", "claim"))
+    found = labelled.groupBy("q").agg(
+        names("supports").alias("pro"), names("contradicts").alias("con"), F.max(year("supports")).alias("last"), F.min(year("contradicts")).alias("first"),
+        F.slice(F.array_sort(F.collect_list(against)), 1, most).alias("c"),
+    )
+    side_line = lambda c, verb: F.concat(F.lit("  "), F.size(c).cast("string"), F.lit(f" paper(s) {verb}: "), F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("—"))
+    newer = F.when(
+        F.col("first") > F.col("last"),
+        F.concat(F.lit("  The pushback is more recent ("), F.col("first").cast("string"), F.lit("+) than the support (to "), F.col("last").cast("string"), F.lit(") — say so.")),
+    )
+    quoted = F.transform(F.filter("c", lambda x: x["claim"] != ""), lambda x: F.concat(F.lit("  - "), x["paper"], F.lit(": "), x["claim"]))
+    head = F.array_compact(F.array(F.lit("DISAGREEMENT IN THE RETRIEVED EVIDENCE — do not average this away."), side_line("pro", "support"), side_line("con", "push back"), newer))
+    end = F.array(F.lit("Report the split explicitly, and say which side each paper is on."))
+    return found.where(F.size("con") > 0).select("q", F.array_join(F.concat(head, quoted, end), "\n").alias("block"))
+
+
 def used_citations(answers: DataFrame, known: DataFrame) -> DataFrame:
     """answer_id, number, id: retrieved ids that an answer cites, numbered by first use."""
     cited = answers.select("answer_id", F.posexplode(F.regexp_extract_all("answer", F.lit(CITATION), F.lit(1))).alias("pos", "id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import biblio, evidence, graph, passages, retrieval
+from folioscope.operators import biblio, blocks, evidence, graph, passages, retrieval
 from folioscope.sources import tables
 
 QUERIES: dict = {}
@@ -398,20 +398,59 @@ def title_citations(s, d):
     return graph.title_citations(docs(s, d).select(F.concat(F.lit("d"), "doc_id").alias("stem"), tx.squash(F.col("text")).alias("squashed")), titles)
 
 
+#: Texts with and without identifiers.
 IDS = [("https://arxiv.org/abs/1706.03762v7",), ("arXiv:2005.14165",), ("see arxiv.org/pdf/cs/0112017",), ("10.1000/xyz.123). done",), ("doi 10.48550/arXiv.1706.03762",), ("none",)]
 
 
 @query("""SELECT * FROM (VALUES ('https://arxiv.org/abs/1706.03762v7', '1706.03762v7', NULL), ('arXiv:2005.14165', '2005.14165', NULL), ('see arxiv.org/pdf/cs/0112017', 'cs/0112017', NULL),
-('10.1000/xyz.123). done', NULL, '10.1000/xyz.123'), ('doi 10.48550/arXiv.1706.03762', NULL, NULL), ('none', NULL, NULL)) t(text, arxiv_id, doi)""")
+('10.1000/xyz.123). done', NULL, '10.1000/xyz.123'), ('doi 10.48550/arXiv.1706.03762', '1706.03762', NULL), ('none', NULL, NULL)) t(text, arxiv_id, doi)""")
 def identifiers(s, d):
     return s.createDataFrame(IDS, "text string").select("text", tx.arxiv_id(F.col("text")).alias("arxiv_id"), tx.doi(F.col("text")).alias("doi"))
 
 
-@query()
+#: Bibliographic rows, and the entries that they give.
+ENTRIES = [
+    (1, ["Ashish Vaswani", "Noam Shazeer"], 2017, "Attention Is All You Need", "NeurIPS", None, "1706.03762", False),
+    (2, ["Jo Brown"], 2020, "Some 50% & more", "Nature", "10.1/x_y", None, True),
+    (3, ["Ann Lee"], 0, "With Care", None, "10.48550/arXiv.1", "1706.1", False),
+    (4, None, None, None, None, None, None, None),
+]
+
+
+@query(r"""SELECT * FROM (VALUES
+(1, '@inproceedings{vaswani2017attention,' || chr(10) || '  author = {Ashish Vaswani and Noam Shazeer},' || chr(10) || '  title = {{Attention Is All You Need}},' || chr(10) || '  booktitle = {NeurIPS},' || chr(10) || '  year = {2017},' || chr(10) || '  eprint = {1706.03762},' || chr(10) || '  archivePrefix = {arXiv}' || chr(10) || '}' || chr(10)),
+(2, '@article{brown2020some,' || chr(10) || '  author = {Jo Brown},' || chr(10) || '  title = {{Some 50\% \& more}},' || chr(10) || '  journal = {Nature},' || chr(10) || '  year = {2020},' || chr(10) || '  doi = {10.1/x_y},' || chr(10) || '  note = {Retracted}' || chr(10) || '}' || chr(10)),
+(3, '@misc{leendcare,' || chr(10) || '  author = {Ann Lee},' || chr(10) || '  title = {{With Care}},' || chr(10) || '  eprint = {1706.1},' || chr(10) || '  archivePrefix = {arXiv},' || chr(10) || '  url = {https://arxiv.org/abs/1706.1}' || chr(10) || '}' || chr(10)),
+(4, '@misc{anonnduntitled,' || chr(10) || chr(10) || '}' || chr(10))) t(id, entry)""")
 def bibtex(s, d):
-    rows = [("Ashish Vaswani", 2017, "Attention Is All You Need", "NeurIPS", None, "1706.03762"), ("Jo Brown", 2020, "Some 50% & more", "Nature", "10.1/x_y", None), (None, None, None, None, None, None)]
-    c = ["author", "year", "title", "venue", "doi", "arxiv"]
-    return s.createDataFrame(rows, "author string, year int, title string, venue string, doi string, arxiv string").select(biblio.bibtex(*map(F.col, c)).alias("entry"))
+    c = ["authors", "year", "title", "venue", "doi", "arxiv", "retracted"]
+    rows = s.createDataFrame(ENTRIES, "id int, authors array<string>, year int, title string, venue string, doi string, arxiv string, retracted boolean")
+    return rows.select("id", biblio.bibtex(*map(F.col, c)).alias("entry"))
+
+
+#: Recorded answers of the bibliographic services.
+ANSWERED = [
+    ("a", "arxiv_search", "<feed><entry><id>http://arxiv.org/abs/9.1v1</id><title>Not All Attention Is All You Need</title></entry><entry><id>http://arxiv.org/abs/1706.03762v7</id><title>Attention Is\n All You Need</title></entry></feed>"),
+    ("a", "arxiv", "<feed><entry><title>Attention Is All You Need</title><published>2017-06-12</published><author> <name>Ashish Vaswani</name></author></entry></feed>"),
+    ("a", "semanticscholar", '{"title": "x", "year": 2018, "venue": "NeurIPS", "citationCount": 7, "externalIds": {"DOI": "10.5/a"}}'),
+    ("a", "openalex_search", '{"results": [{"id": "W1", "title": "Attention is all you need", "publication_year": 2025}, {"id": "W2", "title": "Attention Is All You Need!", "publication_year": 2017, "cited_by_count": 9, "referenced_works": ["W7"]}]}'),
+    ("a", "crossref", '{"message": {"updated-by": [{"type": "Retraction", "DOI": "10.9/r"}]}}'),
+    ("a", "citers", '{"data": [{"citingPaper": {"title": "BERT", "year": 2018}}, {"citingPaper": {"title": null}}]}'),
+    ("b", "crossref", '{"message": {"type": "retraction"}}'),
+    ("b", "openalex_doi", "not json"),
+]
+PAPERS = [("a", "Attention Is All You Need", None, None), ("b", "Other", None, "10.5/b"), ("c", "Third", None, None)]
+
+
+@query("""SELECT * FROM (VALUES
+('a', 2017, 'NeurIPS', '10.5/a', '1706.03762', 'W2', 9, 'Retracted by 10.9/r.', 'Ashish Vaswani', 'W7', 'BERT', 'arxiv-title-search,arxiv,semanticscholar,openalex,crossref', false),
+('b', NULL, NULL, '10.5/b', NULL, NULL, NULL, 'Crossref records a retraction notice for this DOI.', '', '', '', 'crossref', false),
+('c', NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', '', '', '', true))
+t(key, year, venue, doi, arxiv_id, openalex_id, citation_count, retraction_note, authors, reference_ids, citers, resolved_by, unresolved)""")
+def resolved_papers(s, d):
+    rows = biblio.resolved(s.createDataFrame(PAPERS, "key string, title string, arxiv_id string, doi string"), s.createDataFrame(ANSWERED, "key string, service string, body string"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("authors", "reference_ids", "resolved_by")]
+    return rows.select("key", "year", "venue", "doi", "arxiv_id", "openalex_id", "citation_count", "retraction_note", *lists, F.array_join(F.transform("citers", lambda c: c["title"]), ",").alias("citers"), "unresolved")
 
 
 @query("""SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS label FROM documents WHERE NOT contains(substr(text, 1, 80), '(')""")
@@ -429,3 +468,140 @@ def library(s, d):
 def new_files_only(s, d):
     own = docs(s, d).withColumn("file_hash", F.md5("text"))
     return tables.unseen(own, own.where("doc_id < 100")).select("doc_id")
+
+
+# The same words that the expression asks for, as lists.
+MATHY = r"""
+t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+w AS (SELECT *, length(t) AS n, list_transform(string_split_regex(t, '\s+'), lambda x: regexp_replace(x, '^[.,()]+|[.,()]+$', '', 'g')) AS bare, string_split_regex(t, '\s+') AS words FROM t),
+c AS (SELECT *, len(list_filter(range(1, len(words) + 1), lambda i: length(words[i]) >= 3 AND regexp_full_match(bare[i], '\p{L}+'))) AS sensible,
+  len(list_filter(bare, lambda x: lower(x) IN ('the', 'a', 'an', 'of', 'to', 'in', 'is', 'are', 'we', 'that', 'for', 'and', 'with', 'as', 'on', 'by', 'this', 'it', 'be', 'from', 'which'))) AS stops,
+  (n - length(regexp_replace(t, '[∑∏∫∂∇√±≤≥≈≠∈∀∃⊤⊆∪∩·×→←↦⟨⟩αβγδεθλμσφψωΓΔΘΛΣΦΨΩ\^_{}]', '', 'g'))) / nullif(n, 0) AS signs,
+  (n - length(regexp_replace(t, '[=+\-/*<>\^_\p{Nd}⁰¹²³⁴-⁹₀-₉]', '', 'g'))) / nullif(n, 0) AS dense FROM w)"""
+
+
+@query(f"""WITH {MATHY} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (n > 0 AND n <= 200 AND sensible < 3 AND stops < 2 AND (signs > 0.05 OR (sensible <= 1 AND dense > 0.15))) AS n_mathy FROM c GROUP BY 1""")
+def math_lines(s, d):
+    rows = docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(passages.is_mathy(F.col("line")), 1)).alias("n_mathy"))
+
+
+@query()
+def typed_blocks(s, d):
+    built = docs(s, d).select("doc_id", F.posexplode(blocks.build(F.split("text", "\n"), F.lit(False))).alias("block_no", "b"))
+    return built.select("doc_id", "block_no", "b.content_type", F.length("b.text").alias("n_chars"), F.md5("b.text").alias("text_md5"))
+
+
+def paper_lines(s, d):
+    """Documents as papers: their lines, fifty to a page, in one type size."""
+    rows = docs(s, d).where("text is not null").select(F.col("doc_id").alias("paper"), F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where("trim(text) <> ''")
+    return rows.withColumns({"page_no": F.floor(F.col("line_no") / 50).cast("int"), "size": F.lit(10.0), "bold": F.lit(False)})
+
+
+@query()
+def parsed_chunks(s, d):
+    found = blocks.chunks(blocks.parse(paper_lines(s, d)))
+    return found.select("paper", "seq", "section", "page", "content_type", F.length("body").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def overlapping_pieces(s, d):
+    pieces = docs(s, d).select("doc_id", F.posexplode(passages.overlapping()(F.col("text"))).alias("piece", "text"))
+    return pieces.select("doc_id", "piece", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+QUOTE = '[^.!?"]{4,60}'
+
+
+def told(s, d):
+    """Per benchmark item an answer with a quote that it holds, one that it does not, and one of a passage that is not there."""
+    own = tables.table(s, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.regexp_extract("text", QUOTE, 0).alias("quote"), "text")
+    cite = lambda name, quote: F.concat(F.lit(f"This is said here [{name}-chunk-"), F.col("answer_id").cast("string"), F.lit(' "'), quote, F.lit('"].'))
+    answer = F.concat_ws(" ", cite("b", F.col("quote")), cite("b", F.lit("never written")), cite("z", F.col("quote")))
+    retrieved = own.select("answer_id", F.concat(F.lit("b-chunk-"), F.col("answer_id").cast("string")).alias("id"), "text", (F.col("answer_id") * 1000).alias("doc_start"))
+    return own.select("answer_id", answer.alias("answer")), retrieved
+
+
+SPANNED = """p AS (SELECT item_id AS answer_id, text, regexp_extract(text, '[^.!?"]{4,60}', 0) AS quote FROM benchmark),
+c AS (SELECT answer_id, 0 AS pos, 'unchecked' AS verdict, instr(text, quote) - 1 AS start, answer_id * 1000 + instr(text, quote) - 1 + length(quote) AS doc_end, '' AS reason FROM p
+UNION ALL SELECT answer_id, 1, 'fabricated', NULL, NULL, 'quoted text does not appear in the cited passage' FROM p
+UNION ALL SELECT answer_id, 2, 'fabricated', NULL, NULL, 'cites z-chunk-' || answer_id || ', which was not retrieved' FROM p)"""
+
+
+@query(f"WITH {SPANNED} SELECT * FROM c")
+def claim_spans(s, d):
+    first = lambda f: F.try_element_at("spans", F.lit(1))[f]
+    return evidence.claim_spans(*told(s, d)).select("answer_id", "pos", "verdict", first("start").cast("long").alias("start"), first("doc_end").alias("doc_end"), "reason")
+
+
+def judged_answers(s, d):
+    answers, retrieved = told(s, d)
+    reply = F.when(F.col("answer_id") % 3 == 0, 'Here: [{"n": 1, "verdict": "no"}, {"n": 1, "verdict": "Partial", "why": "thin"}]').when(F.col("answer_id") % 3 == 1, "[oops")
+    return evidence.judged_claims(evidence.claim_spans(answers, retrieved), answers.select("answer_id", reply.alias("reply")))
+
+
+@query(f"WITH {SPANNED} SELECT answer_id, pos, CASE WHEN pos = 0 AND answer_id % 3 = 0 THEN 'partial' ELSE verdict END AS verdict, CASE WHEN pos = 0 AND answer_id % 3 = 0 THEN 'thin' ELSE reason END AS reason FROM c")
+def claims_judged(s, d):
+    return judged_answers(s, d).select("answer_id", "pos", "verdict", "reason")
+
+
+@query("""SELECT item_id AS answer_id, (item_id % 3 = 0)::INT::BIGINT AS n_partial, 2::BIGINT AS n_fabricated, (item_id % 3 <> 0)::INT::BIGINT AS n_unchecked, 0::BIGINT AS n_uncited,
+(2 + (item_id % 3 = 0)::INT) AS n_flagged FROM benchmark""")
+def claim_summary(s, d):
+    return evidence.claim_summary(judged_answers(s, d)).select("answer_id", "n_partial", "n_fabricated", "n_unchecked", "n_uncited", F.size("flagged").alias("n_flagged"))
+
+
+@query(f"""WITH r AS (SELECT {JUDGED} AS v, quality, doc_id FROM labels), s AS (SELECT * FROM r WHERE doc_id % 7 <> 0)
+SELECT (SELECT count(*) FROM s) AS scored, (SELECT count(*) FROM r) - (SELECT count(*) FROM s) AS failed, count(*) FILTER (v <> 'fabricated') AS judged, count(*) FILTER (v = 'fabricated') AS fabricated,
+count(*) FILTER (v = 'supported') AS supported, coalesce(sum(doc_id % 3), 0)::BIGINT AS bare_citations, count(*) FILTER (quality = 1) AS evidence,
+round(count(*) FILTER (v <> 'fabricated') / nullif(count(*), 0), 3) AS quote_rate, round(count(*) FILTER (v = 'supported') / nullif(count(*) FILTER (v <> 'fabricated'), 0), 3) AS support_rate,
+round(count(*) FILTER (quality = 1) / nullif(count(*), 0), 3) AS evidence_rate FROM s""")
+def run_summary(s, d):
+    error = F.when(F.col("doc_id") % 7 == 0, "timeout")
+    rows = judged(s, d).select(F.array("verdict").alias("verdicts"), (F.col("doc_id") % 3).alias("bare_citations"), (F.col("quality") == 1).alias("cited_expected_evidence"), error.alias("error"))
+    return evidence.run_summary(rows)
+
+
+def brand_graph(s, d):
+    """Part names as concepts, part types as papers, and an edge from each concept to its brand's."""
+    part = tables.table(s, d, "part")
+    paper = lambda: F.col("p_type").alias("paper")
+    own = part.select(paper(), F.col("p_partkey").alias("ord"), F.concat(F.lit("n"), "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("concept").alias("file_type"), F.lit(False).alias("is_stub"))
+    brands = part.select(paper(), (F.col("p_partkey") + 10**9).alias("ord"), F.concat(F.lit("b"), "p_brand").alias("id"), F.col("p_brand").alias("label"), F.lit("concept").alias("file_type"), F.lit(False).alias("is_stub"))
+    edges = part.select(
+        paper(), F.col("p_partkey").alias("ord"), F.concat(F.lit("n"), "p_partkey").alias("source"), F.concat(F.lit("b"), "p_brand").alias("target"),
+        F.lit("has_brand").alias("relation"), F.lit("EXTRACTED").alias("confidence"), (F.col("p_size") / 50).alias("confidence_score"),
+    )
+    titles = part.select(F.col("p_type").alias("stem")).distinct().withColumn("names", F.array("stem"))
+    none = s.createDataFrame([], "citing string, cited string")
+    return graph.merged_extractions(own.union(brands), edges, titles, none)
+
+
+PLAIN_LABEL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+
+
+@query(rf"""WITH t AS (SELECT DISTINCT p_type AS stem, {PLAIN_LABEL.format("p_type")} AS plain FROM part),
+n AS (SELECT p_type AS paper, {PLAIN_LABEL.format("p_name")} AS plain FROM part UNION ALL SELECT p_type, {PLAIN_LABEL.format("p_brand")} FROM part)
+SELECT 'concept_' || replace(plain, ' ', '_') AS node, count(DISTINCT paper) AS n_papers FROM n WHERE plain <> '' AND plain NOT IN (SELECT plain FROM t) GROUP BY 1
+UNION ALL SELECT 'paper_' || regexp_replace(lower(stem), '[^\p{{L}}\p{{N}}_]+', '_', 'g'), 1 FROM t""")
+def extracted_nodes(s, d):
+    return brand_graph(s, d)[0].select("node", F.size("papers").cast("long").alias("n_papers"))
+
+
+@query()
+def extracted_edges(s, d):
+    return brand_graph(s, d)[1]
+
+
+@query()
+def related_by_question(s, d):
+    nodes, edges = brand_graph(s, d)
+    asked = tables.table(s, d, "part").select("p_brand").distinct().select(F.col("p_brand").alias("q"), F.concat(F.lit("which papers use "), "p_brand").alias("text"))
+    return graph.related_papers(nodes, edges, graph.question_seeds(nodes, edges, asked))
+
+
+@query()
+def context_expanded(s, d):
+    chain = chunked(s, d)
+    ranked = retrieval.bm25(docs(s, d), questions(s, d)).join(chain.select(F.col("seq").alias("doc_id"), "id"), "doc_id").select("q", "rank", "id", F.lit("bm25").alias("channels"))
+    return retrieval.expanded(ranked, chain)

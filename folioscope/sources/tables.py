@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import stem
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -36,3 +38,41 @@ def library(chunks: DataFrame) -> DataFrame:
     """source, title: the first non-empty title of each source by ordinal, else the source's name."""
     titled = F.min_by("title", F.when(F.col("title") != "", F.col("ord")))
     return chunks.groupBy("source").agg(titled.alias("t")).select("source", F.coalesce("t", "source").alias("title"))
+
+
+EXTRACTION = """failed_chunks long,
+nodes array<struct<id:string,label:string,file_type:string,metadata:struct<graphify_reference_stub:boolean>>>,
+edges array<struct<source:string,target:string,relation:string,confidence:string,confidence_score:double,source_location:string>>"""
+
+
+def extractions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """raw_nodes and raw_edges of the JSON files in a folder, one per paper, named by its stem; files with failed chunks are left out."""
+    files = spark.read.schema(EXTRACTION).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    whole = files.where(F.coalesce("failed_chunks", F.lit(0)) == 0).withColumn("paper", stem(F.input_file_name()))
+    nodes = whole.select("paper", F.posexplode("nodes").alias("ord", "n")).select("paper", "ord", "n.id", "n.label", "n.file_type", F.coalesce("n.metadata.graphify_reference_stub", F.lit(False)).alias("is_stub"))
+    return nodes, whole.select("paper", F.posexplode("edges").alias("ord", "e")).select("paper", "ord", "e.*")
+
+
+def page_of_caption(pages: DataFrame, wanted: DataFrame, window: int = 5) -> DataFrame:
+    """id, page for wanted (id, source, page, caption) over pages (source, page, text), counted from 0.
+
+    The first page that holds the caption, of `window` pages from the one named; without any the one named, within the file.
+    """
+    last = pages.groupBy("source").agg(F.max("page").alias("last"))
+    start = wanted.join(last, "source").withColumn("page", F.greatest(F.lit(0), F.least("page", "last")))
+    texts = pages.select("source", F.col("page").alias("at"), "text")
+    near = (F.col("at") >= F.col("page")) & (F.col("at") < F.col("page") + window) & F.contains("text", "caption") & (F.coalesce("caption", F.lit("")) != "")
+    held = start.join(texts, "source").where(near).groupBy("id").agg(F.min("at").alias("at"))
+    return start.join(held, "id", "left").select("id", F.coalesce("at", "page").alias("page"))
+
+
+def without(chunks: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The chunks of all files but those whose hash is given: what stays when a paper is deleted or its ingestion failed."""
+    return chunks.join(hashes.select("file_hash").distinct(), "file_hash", "left_anti")
+
+
+def numbered_names(names: DataFrame) -> DataFrame:
+    """ord, name, stored for uploads (ord, name): the safe name, with -1, -2 and so on before the extension where it was taken before."""
+    safe = names.withColumn("safe", safe_pdf_name(F.col("name")))
+    nth = F.row_number().over(Window.partitionBy("safe").orderBy("ord")) - 1
+    return safe.withColumn("n", nth).select("ord", "name", F.when(F.col("n") == 0, F.col("safe")).otherwise(F.concat(F.regexp_replace("safe", r"(?i)\.pdf$", ""), F.lit("-"), F.col("n").cast("string"), F.lit(".pdf"))).alias("stored"))

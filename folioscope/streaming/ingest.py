@@ -10,10 +10,16 @@ from folioscope.operators.passages import chunk_records
 from folioscope.sources.tables import append_by_hash
 
 
-def chunks_of(batch: DataFrame) -> DataFrame:
-    """Chunk records of a batch (source, seq, text), with the hash of each source's text."""
-    content = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n"), 256)
-    return chunk_records(batch).join(batch.groupBy("source").agg(content.alias("file_hash")), "source")
+def chunks_of(batch: DataFrame, width: int = 4096) -> DataFrame:
+    """Chunk records of a batch (source, seq, text), with a hash of each source's text.
+
+    The hash is one of hashes over ranges of `width` numbers, so that no source's text is gathered in one place.
+    """
+    order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), "")
+    rows = batch.select("source", F.floor(F.col("seq") / width).alias("range"), F.struct("seq", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).alias("r"))
+    ranges = rows.groupBy("source", "range").agg(F.struct("range", F.sha2(order("r"), 256).alias("h")).alias("r"))
+    hashes = ranges.groupBy("source").agg(F.sha2(order("r"), 256).alias("file_hash"))
+    return chunk_records(batch).join(hashes, "source")
 
 
 def start(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -92,7 +92,7 @@ def test_titles_and_graph(spark):
 
 
 def test_bibtex(spark):
-    got = one(spark, biblio.bibtex_key(F.col("a"), F.col("y"), F.col("t")), a="Ashish Vaswani", y=2017, t="Attention Is All You Need")
+    got = one(spark, biblio.bibtex_key(F.col("a"), F.col("y"), F.col("t")), a=["Ashish Vaswani"], y=2017, t="Attention Is All You Need")
     assert got == "vaswani2017attention"
     assert one(spark, biblio.tex_escaped(F.col("t")), t="a_b & 5% \\") == r"a\_b \& 5\% \textbackslash{}"
 
