@@ -8,13 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators import matching
+
 CITATION = r"\[([A-Za-z0-9._-]+chunk-\d+)(?:\s+\"([^\"]{4,400})\")?\]"
 
 
 def located(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """quote_id, doc_id, start, end: exact places of quotes (quote_id, quote) in texts; the quotes are broadcast if Spark finds them short."""
+    """quote_id, doc_id, start, end: the first exact places of quotes (quote_id, quote) in texts (doc_id, text)."""
+    held = matching.holding(texts.select(F.col("doc_id").alias("key"), "text"), quotes.select(F.col("quote_id").alias("wanted"), F.col("quote").alias("part")))
+    met = held.select(F.col("key").alias("doc_id"), F.col("wanted").alias("quote_id"), F.col("part").alias("quote")).join(texts.select("doc_id", "text"), "doc_id")
     at = F.instr(F.col("text"), F.col("quote"))
-    return texts.join(quotes, F.col("text").contains(F.col("quote"))).select("quote_id", "doc_id", (at - 1).alias("start"), (at - 1 + F.length("quote")).alias("end"))
+    return met.select("quote_id", "doc_id", (at - 1).alias("start"), (at - 1 + F.length("quote")).alias("end"))
 
 
 def flexible_place():

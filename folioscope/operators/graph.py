@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import norm_label, stem, tokens
-from folioscope.operators import retrieval
+from folioscope.operators import matching, retrieval
 
 
 def merged_nodes(nodes: DataFrame) -> DataFrame:
@@ -203,41 +201,8 @@ def map_edges(base: DataFrame, links: DataFrame) -> DataFrame:
     return base.select("citing", "cited").union(links.where("relation = 'cites'").select("citing", "cited")).distinct()
 
 
-GRAM = 12
-
-
-def grams():
-    """An Arrow function string -> array<long>: the distinct hashes of all runs of GRAM characters; of shorter texts, none."""
-
-    @F.pandas_udf("array<bigint>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(hashed_grams)
-
-    return run
-
-
-def hashed_grams(text: str | None) -> np.ndarray:
-    codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = len(codes) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    total = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n] + np.uint64(1)
-    return np.unique(total).view(np.int64)
-
-
-def title_citations(texts: DataFrame, titles: DataFrame, least: int = GRAM) -> DataFrame:
-    """citing, cited: texts (stem, squashed) that hold a title (stem, name squashed) of another stem.
-
-    Texts and titles meet by a hash join on a title's first GRAM characters; the whole title is looked for only where these
-    occur. Shorter titles can't be asked for.
-    """
-    if least < GRAM:
-        raise ValueError(f"titles of under {GRAM} characters have no gram")
-    names = titles.where(F.length("name") >= least).select(F.col("stem").alias("cited"), "name").distinct()
-    opened = names.withColumn("gram", F.element_at(grams()(F.substring("name", 1, GRAM)), 1))
-    held = texts.select(F.col("stem").alias("citing"), F.explode(grams()("squashed")).alias("gram"))
-    near = held.join(opened, "gram").where("citing <> cited").select("citing", "cited", "name")
-    whole = near.join(texts.select(F.col("stem").alias("citing"), "squashed"), "citing").where(F.col("squashed").contains(F.col("name")))
-    return whole.select("citing", "cited").distinct()
+def title_citations(texts: DataFrame, titles: DataFrame, least: int = 12) -> DataFrame:
+    """citing, cited: texts (stem, squashed) that hold a title (stem, name squashed) of `least` characters or more of another stem."""
+    names = titles.where(F.length("name") >= least).select(F.col("stem").alias("wanted"), F.col("name").alias("part"))
+    held = matching.holding(texts.select(F.col("stem").alias("key"), F.col("squashed").alias("text")), names)
+    return held.where("key <> wanted").select(F.col("key").alias("citing"), F.col("wanted").alias("cited")).distinct()

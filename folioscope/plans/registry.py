@@ -243,9 +243,9 @@ def answer_summary(s, d):
 
 
 @query("""SELECT item_id AS quote_id, doc_id, instr(d.text, b.quote) - 1 AS start, instr(d.text, b.quote) - 1 + length(b.quote) AS "end"
-FROM documents d JOIN (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark) b ON contains(d.text, b.quote)""")
+FROM documents d JOIN (SELECT item_id, text AS quote FROM benchmark) b ON contains(d.text, b.quote)""")
 def quote_exact(s, d):
-    quotes = tables.table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.substring("text", 1, 60).alias("quote"))
+    quotes = tables.table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return evidence.located(quotes, docs(s, d).select("doc_id", "text"))
 
 
@@ -391,10 +391,10 @@ def citation_edges(s, d):
 SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 
 
-@query(f"""WITH t AS (SELECT 'b' || item_id AS stem, {SQUASH.format("substr(text, 1, 40)")} AS name FROM benchmark), x AS (SELECT 'd' || doc_id AS stem, {SQUASH.format("text")} AS body FROM documents)
+@query(f"""WITH t AS (SELECT 'b' || item_id AS stem, {SQUASH.format("text")} AS name FROM benchmark), x AS (SELECT 'd' || doc_id AS stem, {SQUASH.format("text")} AS body FROM documents)
 SELECT DISTINCT x.stem AS citing, t.stem AS cited FROM x JOIN t ON length(name) >= 12 AND contains(body, name)""")
 def title_citations(s, d):
-    titles = tables.table(s, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("stem"), tx.squash(F.substring("text", 1, 40)).alias("name"))
+    titles = tables.table(s, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("stem"), tx.squash(F.col("text")).alias("name"))
     return graph.title_citations(docs(s, d).select(F.concat(F.lit("d"), "doc_id").alias("stem"), tx.squash(F.col("text")).alias("squashed")), titles)
 
 
@@ -453,21 +453,22 @@ def resolved_papers(s, d):
     return rows.select("key", "year", "venue", "doi", "arxiv_id", "openalex_id", "citation_count", "retraction_note", *lists, F.array_join(F.transform("citers", lambda c: c["title"]), ",").alias("citers"), "unresolved")
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS label FROM documents WHERE NOT contains(substr(text, 1, 80), '(')""")
+@query(r"""WITH b AS (SELECT doc_id, text, trim(regexp_replace(text, '\([^)]*\)', ' ', 'g'), ' ') AS bare FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(lower(CASE WHEN bare = '' THEN text ELSE bare END), '[^\p{L}\p{N}]+', ' ', 'g'), ' ')) AS label_md5 FROM b""")
 def norm_labels(s, d):
-    head = F.substring("text", 1, 80)
-    return docs(s, d).where(~head.contains("(")).select("doc_id", tx.norm_label(head).alias("label"))
+    return docs(s, d).select("doc_id", F.md5(tx.norm_label(F.col("text"))).alias("label_md5"))
 
 
-@query("SELECT source, coalesce(arg_min(nullif(substr(text, 1, 30), ''), doc_id), source) AS title FROM documents GROUP BY 1")
+@query("SELECT source, coalesce(arg_min(nullif(split_part(text, chr(10), 1), ''), doc_id), source) AS title FROM documents GROUP BY 1")
 def library(s, d):
-    return tables.library(docs(s, d).select("source", F.substring("text", 1, 30).alias("title"), F.col("doc_id").alias("ord")))
+    return tables.library(docs(s, d).select("source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("doc_id").alias("ord")))
 
 
-@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 100)")
+@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels))")
 def new_files_only(s, d):
+    """The store holds the labelled documents."""
     own = docs(s, d).withColumn("file_hash", F.md5("text"))
-    return tables.unseen(own, own.where("doc_id < 100")).select("doc_id")
+    return tables.unseen(own, own.join(tables.table(s, d, "labels"), "doc_id", "left_semi")).select("doc_id")
 
 
 # The same words that the expression asks for, as lists.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import biblio, blocks, evidence, graph, passages, retrieval
+from folioscope.operators import biblio, blocks, evidence, graph, matching, passages, retrieval
 from folioscope.sources import tables
 
 
@@ -236,6 +236,17 @@ def test_title_citations(spark):
     assert sorted(map(tuple, got.collect())) == [("bert", "attn"), ("r", "c")]
 
 
+@pytest.mark.parametrize("sifted", [0, 1 << 18])
+def test_holding_agrees_with_all_pairs(spark, monkeypatch, sifted):
+    monkeypatch.setattr(matching, "SIFTED_MOST", sifted)
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abé") for _ in range(rng.randrange(60)))) for i in range(40)] + [(40, None), (41, ""), (1, "aaa")]
+    parts = [(i, rng.choice(texts[:40])[1][: rng.choice([1, 4, 9, 12, 13, 30])]) for i in range(30)] + [(30, ""), (31, None), (0, "bbbb")]
+    got = matching.holding(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame(parts, "wanted int, part string"))
+    assert {tuple(r) for r in got.collect()} == {(k, w, p) for k, t in texts for w, p in parts if t and p and p in t}
+    assert matching.holding(spark.createDataFrame([], "key int, text string"), spark.createDataFrame([], "wanted int, part string")).count() == 0
+
+
 def test_sources(spark, tmp_path):
     pages = spark.createDataFrame([("a", i, f"text Table {i}") for i in range(8)], "source string, page int, text string")
     wanted = spark.createDataFrame([(1, "a", 1, "Table 4"), (2, "a", 99, ""), (3, "a", -3, None), (4, "a", 1, "Table 7")], "id int, source string, page int, caption string")
