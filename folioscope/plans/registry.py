@@ -589,7 +589,12 @@ def extracted_nodes(s, d):
     return brand_graph(s, d)[0].select("node", F.size("papers").cast("long").alias("n_papers"))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT DISTINCT {PLAIN_LABEL.format("p_type")} AS plain, p_type AS stem FROM part),
+p AS (SELECT *, {PLAIN_LABEL.format("p_name")} AS name, {PLAIN_LABEL.format("p_brand")} AS brand FROM part),
+e AS (SELECT 'concept_' || replace(name, ' ', '_') AS source, 'concept_' || replace(brand, ' ', '_') AS target, 'has_brand' AS relation, 'EXTRACTED' AS confidence,
+  CASE WHEN p_size = 0 THEN 0.5::DOUBLE ELSE p_size / 50.0::DOUBLE END AS confidence_score, p_type AS paper, p_partkey AS ord
+  FROM p WHERE name <> '' AND brand <> '' AND name NOT IN (SELECT plain FROM t) AND brand NOT IN (SELECT plain FROM t) AND name <> brand)
+SELECT source, target, relation, confidence, confidence_score, paper FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY paper DESC, ord DESC) AS k FROM e) WHERE k = 1""")
 def extracted_edges(s, d):
     return brand_graph(s, d)[1]
 
