@@ -59,6 +59,13 @@ def warnings(retracted: Column, note: Column, doi: Column, arxiv: Column) -> Col
     )
 
 
+def preprint_note(arxiv: Column, venue: Column, year: Column) -> Column:
+    """Where an arXiv copy's work was published; null if there is no id, no venue, or the venue is arXiv."""
+    known = (arxiv != "") & (venue != "") & ~venue.rlike("(?i)arxiv")
+    when = F.when(F.coalesce(year, F.lit(0)) != 0, F.concat(F.lit(" "), year.cast("string"))).otherwise("")
+    return F.when(known, F.concat(F.lit("preprint · published: "), venue, when))
+
+
 def chunk_metadata(records: DataFrame) -> DataFrame:
     """source and the scalar columns that a paper's record gives its chunks: no nulls, 0 and "" stand for unknown."""
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)

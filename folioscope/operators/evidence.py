@@ -187,6 +187,29 @@ def used_citations(answers: DataFrame, known: DataFrame) -> DataFrame:
     return first.select("answer_id", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos")).alias("number"), "id")
 
 
+def stripped(answers: DataFrame, known: DataFrame) -> DataFrame:
+    """answer_id, answer: without the citations of passages that were not retrieved; runs of blanks become one.
+
+    An answer without citations loses only its runs of blanks; a null answer stays null. answer_id names one answer.
+    """
+    cited = answers.select("answer_id", F.posexplode(F.regexp_extract_all("answer", F.lit(CITATION), F.lit(1))).alias("pos", "id"))
+    invented = cited.join(known.select("id").distinct(), "id", "left_anti").groupBy("answer_id").agg(F.collect_set("pos").alias("gone"))
+    kept = F.transform(
+        F.regexp_extract_all("answer", F.lit(CITATION), F.lit(0)),
+        lambda whole, at: F.when(F.coalesce(F.array_contains("gone", at), F.lit(False)), "").otherwise(whole),
+    )
+    woven = F.array_join(F.transform(F.split("answer", CITATION), lambda part, at: F.concat(part, F.coalesce(F.get("kept", at), F.lit("")))), "")
+    rows = answers.join(invented, "answer_id", "left").withColumn("kept", kept)
+    return rows.select("answer_id", F.regexp_replace(F.when(F.col("answer").isNotNull(), woven), r"[ \t]{2,}", " ").alias("answer"))
+
+
+def cited_first(passages: DataFrame, used: DataFrame) -> DataFrame:
+    """answer_id, place, id, number: an answer's passages (answer_id, rank, id), the cited ones of used_citations first, the rest in rank order."""
+    rows = passages.join(used.select("answer_id", "id", "number"), ["answer_id", "id"], "left")
+    order = Window.partitionBy("answer_id").orderBy(F.col("number").isNull(), "number", "rank")
+    return rows.select("answer_id", F.row_number().over(order).alias("place"), "id", "number")
+
+
 def verdicts(judged: DataFrame) -> DataFrame:
     """verdict, n, flagged over judged (verdict)."""
     return judged.groupBy("verdict").agg(F.count("*").alias("n")).withColumn("flagged", F.col("verdict").isin("unsupported", "fabricated", "partial"))
@@ -218,6 +241,45 @@ def first_per_title(rows: DataFrame) -> DataFrame:
     return rows.where("warning is not null").withColumn("k", F.row_number().over(order)).where("k = 1").select("title", "pos", "warning")
 
 
+def disagreements(labelled: DataFrame) -> DataFrame:
+    """q, paper, claim, year: the first contradicting passage of each paper over labelled (q, rank, paper, year, stance, claim); year zero is none."""
+    first = labelled.where("stance = 'contradicts'").groupBy("q", "paper").agg(F.min_by(F.struct("claim", "year"), "rank").alias("f"))
+    return first.select("q", "paper", F.coalesce("f.claim", F.lit("")).alias("claim"), F.nullif("f.year", F.lit(0)).alias("year"))
+
+
+def cautions(found: DataFrame) -> DataFrame:
+    """q, block over found (q, rank, title, warning): a title's first warning each, in rank order, in words; no row where nothing is warned of."""
+    first = found.where("warning is not null").groupBy("q", "title").agg(F.min(F.struct("rank", "warning")).alias("w"))
+    told = first.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("w.rank", "title", "w.warning"))).alias("l"))
+    line = F.transform("l", lambda x: F.concat(F.lit("- "), x["title"], F.lit(": "), x["warning"]))
+    return told.select("q", F.concat(F.lit("CAUTIONS\n"), F.array_join(line, "\n"), F.lit("\n\n")).alias("block"))
+
+
+def condensed(reply: Column, question: Column) -> Column:
+    """The first line of a model's reply, without quotation marks around it all; the question itself where the reply is empty or missing."""
+    said = F.regexp_replace(F.regexp_replace(reply, r"(?U)^\s+|\s+$", ""), '^"+|"+$', "")
+    return F.coalesce(F.when(said != "", F.trim(F.regexp_extract(said, r"^[^\r\n]*", 0))), question)
+
+
+def followups(reply: Column, most: int = 3) -> Column:
+    """The first non-blank questions listed in a model's reply; none where there is no list."""
+    texts = F.transform(listed(reply, "array<string>"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(F.slice(F.filter(texts, lambda x: x != ""), 1, most), F.array().cast("array<string>"))
+
+
+def hits_by_kind(golden: DataFrame, results: DataFrame, k: int = 8) -> DataFrame:
+    """kind, n, hits over golden (q, kind) and results (q, rank, hit); a null kind counts as other."""
+    met = results.where("hit").where(F.col("rank") <= k).select("q").distinct().withColumn("met", F.lit(1))
+    kind = F.coalesce("kind", F.lit("other")).alias("kind")
+    return golden.select("q", kind).join(met, "q", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count("met").alias("hits"))
+
+
+def compared(report: DataFrame, base: DataFrame) -> DataFrame:
+    """metric, base, value, delta: metrics (metric, value) that both reports have."""
+    both = report.join(base.select("metric", F.col("value").alias("base")), "metric")
+    return both.select("metric", "base", "value", F.round(F.col("value") - F.col("base"), 3).alias("delta"))
+
+
 def retrieval_metrics(golden: DataFrame, results: DataFrame, k: int = 8) -> DataFrame:
     """One row: n, hits, recall, mrr over golden (q) and results (q, rank, hit)."""
     first = results.where("hit").where(F.col("rank") <= k).groupBy("q").agg(F.min("rank").alias("first"))
@@ -242,7 +304,8 @@ def history_window(messages: DataFrame, turns: int = 6, chars: int = 1500) -> Da
     """conv_id, history: the last turns of each conversation as labelled lines, long ones cut."""
     fine = messages.where(F.trim("text") != "")
     last = fine.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("k") <= turns)
-    body = F.when(F.length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit(" …"))).otherwise(F.col("text"))
+    said = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    body = F.when(F.length(said) > chars, F.concat(F.substring(said, 1, chars), F.lit(" …"))).otherwise(said)
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), body)
     rows = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
     return rows.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("history"))

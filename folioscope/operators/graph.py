@@ -201,6 +201,16 @@ def map_edges(base: DataFrame, links: DataFrame) -> DataFrame:
     return base.select("citing", "cited").union(links.where("relation = 'cites'").select("citing", "cited")).distinct()
 
 
+def map_rows(papers: DataFrame, edges: DataFrame) -> DataFrame:
+    """paper, year, cites, cited_by over papers (paper, year) and edges (citing, cited): known papers only; unknown years (null, zero) sort as 9999."""
+    own = papers.select("paper").distinct()
+    known = edges.select("citing", "cited").distinct().join(own.withColumnRenamed("paper", "citing"), "citing", "left_semi").join(own.withColumnRenamed("paper", "cited"), "cited", "left_semi")
+    count = lambda end, name: known.groupBy(F.col(end).alias("paper")).agg(F.count("*").alias(name))
+    rows = papers.join(count("citing", "cites"), "paper", "left").join(count("cited", "cited_by"), "paper", "left")
+    year = F.coalesce(F.nullif("year", F.lit(0)), F.lit(9999)).alias("sort_year")
+    return rows.select("paper", "year", year, F.coalesce("cites", F.lit(0)).alias("cites"), F.coalesce("cited_by", F.lit(0)).alias("cited_by"))
+
+
 def title_citations(texts: DataFrame, titles: DataFrame, least: int = 12) -> DataFrame:
     """citing, cited: texts (stem, squashed) that hold a title (stem, name squashed) of `least` characters or more of another stem."""
     names = titles.where(F.length("name") >= least).select(F.col("stem").alias("wanted"), F.col("name").alias("part"))

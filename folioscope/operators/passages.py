@@ -30,6 +30,11 @@ def is_header(text="text", size="size", bold="bold", body="body"):
     return F.when(refused, False).otherwise((F.col(size) > F.col(body) * HEADER_RATIO) | known | numbered)
 
 
+def caption(text: Column) -> Column:
+    """The first caption mark in a text, like "Table 2:"; empty if there is none."""
+    return F.regexp_extract(text, r"(?i)(?:table|figure|fig\.?|algorithm|listing)\s*\d+[.:]?", 0)
+
+
 def body_size(lines: DataFrame) -> DataFrame:
     """paper, body: the commonest type size to one decimal; of equals the one that comes first."""
     counts = lines.groupBy("paper", F.bround("size", 1).alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("page_no", "line_no")).alias("first"))

@@ -85,9 +85,18 @@ def dense_topk(s, d):
     return retrieval.dense_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding"))
 
 
-def fused(s, d):
+def channels(s, d):
     q = questions(s, d)
-    return retrieval.rrf([("bm25", retrieval.bm25(docs(s, d), q)), ("overlap", retrieval.overlap(docs(s, d), q))])
+    return [("bm25", retrieval.bm25(docs(s, d), q)), ("overlap", retrieval.overlap(docs(s, d), q))]
+
+
+def fused(s, d):
+    return retrieval.rrf(channels(s, d))
+
+
+@query(f"WITH {FUSED} SELECT q, channel, rank, doc_id FROM ch")
+def rrf_channels(s, d):
+    return retrieval.tagged(channels(s, d)).select("q", "channel", "rank", "doc_id")
 
 
 @query(f"WITH {FUSED} SELECT q, rank, doc_id, score, channels FROM fused")
@@ -219,6 +228,12 @@ def misses(s, d):
     return questions(s, d).select("q").join(results(s, d).where("hit"), "q", "left_anti")
 
 
+@query(f"{HITS} SELECT CASE WHEN q % 3 = 0 THEN 'other' ELSE 'k' || q % 3 END AS kind, count(*) AS n, count(first) AS hits FROM f GROUP BY 1")
+def hits_by_kind(s, d):
+    kind = F.when(F.col("q") % 3 != 0, F.concat(F.lit("k"), (F.col("q") % 3).cast("string")))
+    return evidence.hits_by_kind(questions(s, d).select("q", kind.alias("kind")), results(s, d))
+
+
 JUDGED = "CASE WHEN toxic = 1 AND quality = 1 THEN 'fabricated' WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported' ELSE 'partial' END"
 
 
@@ -270,6 +285,78 @@ def used_citations(s, d):
     return evidence.used_citations(s.createDataFrame(ANSWERS, "answer_id int, answer string"), s.createDataFrame(KNOWN, "id string"))
 
 
+@query("""SELECT * FROM (VALUES (1, 'It holds [a-chunk-2 "the first quote"]. It also holds [b-chunk-1] and [a-chunk-2]. Unknown .'),
+(2, 'No citation here. But (see [b-chunk-1]).')) t(answer_id, answer)""")
+def stripped_citations(s, d):
+    return evidence.stripped(s.createDataFrame(ANSWERS, "answer_id int, answer string"), s.createDataFrame(KNOWN, "id string"))
+
+
+@query("SELECT * FROM (VALUES (1, 1, 'a-chunk-2', 1), (1, 2, 'b-chunk-1', 2), (2, 1, 'b-chunk-1', 1), (2, 2, 'a-chunk-2', NULL)) t(answer_id, place, id, number)")
+def cited_first(s, d):
+    answers, known = s.createDataFrame(ANSWERS, "answer_id int, answer string"), s.createDataFrame(KNOWN, "id string")
+    shown = answers.select("answer_id").crossJoin(F.broadcast(known.withColumn("rank", F.when(F.col("id") == "a-chunk-2", 1).otherwise(2))))
+    return evidence.cited_first(shown, evidence.used_citations(answers, known))
+
+
+@query("""SELECT * FROM (VALUES (1, 'Is it "so"?"', 'A|B'), (2, 'raw', ''), (3, 'raw', 'C|D|E')) t(id, question, followups)""")
+def reply_parsers(s, d):
+    rows = [(1, ' "Is it "so"?"\nmore', 'Sure: ["A", " B ", ""]'), (2, "  ", "none"), (3, None, '["C", "D", "E", "F"]')]
+    found = s.createDataFrame(rows, "id int, reply string, listed string")
+    return found.select("id", evidence.condensed(F.col("reply"), F.lit("raw")).alias("question"), F.array_join(evidence.followups(F.col("listed")), "|").alias("followups"))
+
+
+@query("""SELECT * FROM (VALUES (1, '429 Too Many Requests', true), (2, '429 GenerateRequestsPerDay', false), (3, 'Quota exceeded', true), (4, 'no such host', false), (5, NULL, false)) t(id, message, again)""")
+def retry_worthy(s, d):
+    rows = [(1, "429 Too Many Requests"), (2, "429 GenerateRequestsPerDay"), (3, "Quota exceeded"), (4, "no such host"), (5, None)]
+    return s.createDataFrame(rows, "id int, message string").withColumn("again", tables.worth_retrying(F.col("message")))
+
+
+@query("SELECT count(*) AS n, count(*) <= 1000 AS fits FROM documents")
+def ingest_cost(s, d):
+    return tables.ingest_cost(docs(s, d))
+
+
+@query("""SELECT * FROM (VALUES ('mrr', 0.583::DOUBLE, 0.662::DOUBLE, 0.079::DOUBLE), ('chunks', 949, 949, 0)) t(metric, base, value, delta)""")
+def report_diff(s, d):
+    report, base = [("mrr", 0.662), ("chunks", 949.0), ("new", 1.0)], [("mrr", 0.583), ("chunks", 949.0), ("old", 1.0)]
+    return evidence.compared(s.createDataFrame(report, "metric string, value double"), s.createDataFrame(base, "metric string, value double"))
+
+
+@query("""SELECT doc_id, regexp_extract(text, '(?i)(?:table|figure|fig\\.?|algorithm|listing)[ \\t\\n\\f\\r]*[0-9]+[.:]?') AS caption FROM documents""")
+def captions(s, d):
+    return docs(s, d).select("doc_id", passages.caption(F.col("text")).alias("caption"))
+
+
+@query("""SELECT source AS q, doc_id % 5 AS paper, min_by(doc_id, doc_id)::VARCHAR AS claim, nullif(arg_min(doc_id % 3, doc_id), 0) AS year
+FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1, 2""")
+def disagreements(s, d):
+    rows = docs(s, d).join(tables.table(s, d, "labels"), "doc_id")
+    stance = F.when(F.col("toxic") == 1, "contradicts").otherwise("neutral")
+    return evidence.disagreements(rows.select(
+        F.col("source").alias("q"), F.col("doc_id").alias("rank"), (F.col("doc_id") % 5).alias("paper"), (F.col("doc_id") % 3).alias("year"),
+        stance.alias("stance"), F.col("doc_id").cast("string").alias("claim"),
+    ))
+
+
+@query("""SELECT * FROM (VALUES (1, 'CAUTIONS' || chr(10) || '- B: unverified' || chr(10) || '- A: retracted' || chr(10) || chr(10))) t(q, block)""")
+def cautions_block(s, d):
+    rows = [(1, 1, "B", "unverified"), (1, 2, "A", "retracted"), (1, 3, "B", "retracted"), (1, 4, "C", None), (2, 1, "C", None)]
+    return evidence.cautions(s.createDataFrame(rows, "q int, rank int, title string, warning string"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'preprint · published: NeurIPS 2017'), (2, NULL), (3, NULL), (4, 'preprint · published: ICML')) t(id, note)""")
+def preprint_notes(s, d):
+    rows = s.createDataFrame([(1, "1706.1", "NeurIPS", 2017), (2, "1706.1", "arXiv preprint", 2017), (3, None, "ICML", 2018), (4, "1", "ICML", 0)], "id int, arxiv string, venue string, year int")
+    return rows.select("id", biblio.preprint_note(F.col("arxiv"), F.col("venue"), F.col("year")).alias("note"))
+
+
+@query("""SELECT * FROM (VALUES (1, 2, true), (2, 3, true), (1, 4, false)) t(a, b, close)""")
+def title_close(s, d):
+    names = {1: "Attention Is All You Need", 2: "Attention is all you need!", 3: "Attention Is All You Needs", 4: "Not All Attention Is All You Need"}
+    rows = s.createDataFrame([(a, b, names[a], names[b]) for a, b in [(1, 2), (2, 3), (1, 4)]], "a int, b int, ta string, tb string")
+    return rows.select("a", "b", biblio.title_close()(F.col("ta"), F.col("tb")).alias("close"))
+
+
 @query("""SELECT * FROM (VALUES (1, 0, 1), (1, 1, 2), (1, 2, 1), (2, 0, 0), (2, 1, 1)) t(answer_id, pos, n_cited)""")
 def claims(s, d):
     found = evidence.claims(s.createDataFrame(ANSWERS, "answer_id int, answer string"))
@@ -388,6 +475,37 @@ def citation_edges(s, d):
     return graph.citation_edges(s.createDataFrame(rows, "paper string, ord int, own_id string, reference_ids array<string>"))
 
 
+def library_graph(s, d):
+    """Parts as papers of a library; each supplier's lineitem leads from the order's part to the supplier's own number."""
+    raw = tables.table(s, d, "lineitem").select(F.col("l_partkey").alias("citing"), F.col("l_suppkey").alias("cited"), F.when(F.col("l_returnflag") == "R", "cites").otherwise("uses").alias("relation"))
+    return raw.where("citing <> cited")
+
+
+LIBRARY = """raw AS (SELECT l_partkey AS citing, l_suppkey AS cited, CASE WHEN l_returnflag = 'R' THEN 'cites' ELSE 'uses' END AS relation FROM lineitem WHERE l_partkey <> l_suppkey),
+me AS (SELECT citing, cited FROM raw WHERE citing % 2 = 0 UNION SELECT citing, cited FROM raw WHERE relation = 'cites')"""
+
+
+@query(f"WITH {LIBRARY} SELECT citing, cited FROM me")
+def map_edges(s, d):
+    raw = library_graph(s, d)
+    return graph.map_edges(raw.where("citing % 2 = 0"), raw)
+
+
+@query(f"""WITH {LIBRARY}, p AS (SELECT p_partkey AS paper, p_size % 4 AS year FROM part WHERE p_partkey % 3 <> 0),
+k AS (SELECT * FROM me WHERE citing IN (SELECT paper FROM p) AND cited IN (SELECT paper FROM p))
+SELECT paper, year, coalesce(nullif(year, 0), 9999) AS sort_year, (SELECT count(*) FROM k WHERE citing = paper) AS cites, (SELECT count(*) FROM k WHERE cited = paper) AS cited_by FROM p""")
+def library_map(s, d):
+    papers = tables.table(s, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("paper"), (F.col("p_size") % 4).alias("year"))
+    return graph.map_rows(papers, map_edges(s, d))
+
+
+@query("""SELECT * FROM (VALUES ('bert', 'cites', 'attn'), ('vit', 'uses', 'bert')) t(citing, relation, cited)""")
+def paper_links(s, d):
+    nodes = s.createDataFrame([("n1", "attn"), ("n2", "bert"), ("n3", None), ("n4", "vit")], "node string, stem string")
+    edges = s.createDataFrame([("n2", "n1", "cites"), ("n3", "n1", "cites"), ("n4", "n2", "uses")], "source string, target string, relation string")
+    return graph.paper_links(nodes, edges)
+
+
 SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 
 

@@ -76,3 +76,15 @@ def numbered_names(names: DataFrame) -> DataFrame:
     safe = names.withColumn("safe", safe_pdf_name(F.col("name")))
     nth = F.row_number().over(Window.partitionBy("safe").orderBy("ord")) - 1
     return safe.withColumn("n", nth).select("ord", "name", F.when(F.col("n") == 0, F.col("safe")).otherwise(F.concat(F.regexp_replace("safe", r"(?i)\.pdf$", ""), F.lit("-"), F.col("n").cast("string"), F.lit(".pdf"))).alias("stored"))
+
+
+def worth_retrying(message: Column) -> Column:
+    """Whether a failed call may work later: throttled by the minute, not by the day."""
+    daily = message.contains("PerDay")
+    throttled = message.contains("429") | message.contains("RESOURCE_EXHAUSTED") | F.lower(message).contains("quota")
+    return F.coalesce(~daily & throttled, F.lit(False))
+
+
+def ingest_cost(chunks: DataFrame, per_day: int = 1000) -> DataFrame:
+    """One row: n, fits: how many embeddings a new ingest takes, and whether a day's quota holds them."""
+    return chunks.agg(F.count("*").alias("n")).withColumn("fits", F.col("n") <= per_day)

@@ -257,3 +257,22 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"failed_chunks": 2, "nodes": [{"id": "y"}]}')
     nodes, edges = tables.extractions(spark, str(tmp_path))
     assert [(r["paper"], r["id"], r["is_stub"]) for r in nodes.collect()] == [("bert", "x", True)] and edges.count() == 1
+
+
+def test_stripped_edges(spark):
+    rows = [(1, None), (2, ""), (3, '[x-chunk-1]  and  [x-chunk-1][y-chunk-2 "some words"]'), (4, "no  marks")]
+    answers = spark.createDataFrame(rows, "answer_id int, answer string")
+    none = spark.createDataFrame([], "id string")
+    known = spark.createDataFrame([("y-chunk-2",), ("y-chunk-2",)], "id string")
+    text = lambda df: {r["answer_id"]: r["answer"] for r in df.collect()}
+    assert text(evidence.stripped(answers, none)) == {1: None, 2: "", 3: " and ", 4: "no marks"}
+    assert text(evidence.stripped(answers, known))[3] == ' and [y-chunk-2 "some words"]'
+
+
+def test_kinds_and_map_edges(spark):
+    golden = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "q int, kind string")
+    found = spark.createDataFrame([(1, 9, True), (3, 2, True), (3, 1, False), (2, 3, False)], "q int, rank int, hit boolean")
+    assert {(r["kind"], r["n"], r["hits"]) for r in evidence.hits_by_kind(golden, found).collect()} == {("a", 2, 1), ("other", 1, 0)}
+    papers = spark.createDataFrame([("a", 2017), ("b", None), ("c", 0)], "paper string, year int")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "z"), ("c", "b")], "citing string, cited string")
+    assert {tuple(r) for r in graph.map_rows(papers, edges).collect()} == {("a", 2017, 2017, 1, 0), ("b", None, 9999, 0, 2), ("c", 0, 9999, 1, 0)}
