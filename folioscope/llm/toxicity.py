@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are a text's distinct words, pairs of neighbouring words, and pairs with one or two words
-between them, hashed to 2**20 bins; words are runs of letters, digits and underscores, lower-cased.
+Features are a text's distinct words, pairs of neighbouring words, pairs with one or two words between
+them, and the stems (first five characters) of longer words, so that inflected and compound forms share
+a weight; all are hashed to 2**20 bins. Words are runs of letters, digits and underscores, lower-cased.
 Training follows FTRL-proximal: per-coordinate learning rates and an L1 term that leaves most weights
 at zero, so that the model is a short list of bins, small enough for every task's closure.
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 20
+#: Characters of a stem.
+STEM = 5
 #: Words remembered with their hashes by a task.
 MEMO = 200_000
 
@@ -40,10 +43,12 @@ class WordHashes(dict):
 
 
 def bins(words: list[str], memo: WordHashes) -> np.ndarray:
-    """The bins of a text's n-grams and skip-grams, with repeats."""
+    """The bins of a text's n-grams, skip-grams and stems, with repeats."""
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    stems = [w[:STEM] + "*" for w in words if len(w) > STEM]  # a star is in no word
+    s = np.fromiter(map(memo.__getitem__, stems), np.uint64, len(stems))
     shift = np.uint64(64 - BITS)
-    parts = [(h * np.uint64(0x9E3779B97F4A7C15)) >> shift]
+    parts = [(np.concatenate([h, s]) * np.uint64(0x9E3779B97F4A7C15)) >> shift]
     for gap, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9), (3, 0x27D4EB2F165667C5)):
         if len(h) > gap:
             mixed = (h[:-gap] ^ (h[:-gap] >> np.uint64(29))) * np.uint64(odd) + h[gap:]

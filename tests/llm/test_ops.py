@@ -270,3 +270,13 @@ def test_pipeline(spark, odd, docs):
             assert out.columns[: len(docs.columns)] == docs.columns, name
             out.write.format("noop").mode("overwrite").save()
     assert 0 < corpus_pipeline.run(spark, SF).count() <= docs.count()
+
+
+def test_toxicity_inflected_forms():
+    from folioscope.llm import toxicity
+
+    memo = toxicity.WordHashes()
+    shared = set(toxicity.bins(["grumbling"], memo).tolist()) & set(toxicity.bins(["grumbled"], memo).tolist())
+    assert len(shared) == 1
+    assert len(toxicity.bins(["short"], memo)) == 1
+    assert len(toxicity.bins([], memo)) == 0
