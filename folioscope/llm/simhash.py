@@ -292,7 +292,112 @@ def _named(fps: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
     """Give each fingerprint the smallest doc_id of its component, then each row its fingerprint's."""
     label = first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     least = label.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return fps.join(label.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(label.join(least, "label").select("fp", "component_id"), "fp").select(*fps.columns, "component_id")
+
+
+def sketches(docs: DataFrame, shingle: int, words: int, bands: int, rows: int, seed: int = 5) -> DataFrame:
+    """doc_id, text_hash, fp (a hash of the set of distinct shingles), n (its size), wide (the set's fingerprint) and bands.
+
+    A band is a hash of `rows` minima of the set under hash functions of the band's own; a set without shingles has none.
+    """
+    rng = np.random.default_rng(seed)
+    flip, odd = (rng.integers(0, 1 << 64, bands * rows, "<u8") | np.uint64(i) for i in (0, 1))
+
+    def run(batches):
+        for b in batches:
+            fp, n, wide, band = [], [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                held = np.unique(shingle_hashes(t or b"", shingle))
+                fp.append(np.int64(xxhash.xxh64_intdigest(held.tobytes(), 42) - (1 << 63)))
+                n.append(len(held))
+                wide.append(majority_bits(held, words).view("<i8"))
+                least = np.array([((held ^ x) * y).min() for x, y in zip(flip, odd, strict=True)] if len(held) else [], "<u8").reshape(-1, rows)
+                band.append(np.array([xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least)], "<u8").view("<i8"))
+            cols = [pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.list_(pa.int64())), pa.array(band, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "text_hash", "fp", "n", "wide", "bands"])
+
+    schema = "doc_id long, text_hash long, fp long, n long, wide array<long>, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+
+
+#: From so many shingles on, fingerprints sieve candidates; below, sets are too small for them.
+SIEVED = 64
+#: Up to so many rows, all pairs of a shard are candidates at once.
+FEW = 8
+
+
+def candidates(spread: DataFrame, sizes: DataFrame, similarity: float, limit: int, leaders: bool, max_broadcast: int = 100_000) -> DataFrame:
+    """u, v: pairs of rows of spread (shard, fp, n, wide, label) in one shard that may be similar.
+
+    A pair may be if the sizes allow it and, where both sets are large, the fingerprints differ by no more than limit.
+    With leaders, a crowded shard gives only pairs with a leader: the first row that no earlier leader took. Without,
+    it gives all pairs of rows with different labels. sizes (shard, na): in how many chunks to deal the shards.
+    """
+    crowded = sizes.count()
+    cut = spread.join(F.broadcast(sizes) if crowded <= max_broadcast else sizes, "shard", "left")
+    na = F.coalesce("na", F.lit(1))
+    spot = F.pmod(F.xxhash64("fp", F.lit(7)), na).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), na - 1), lambda a: F.struct(F.least(a, spot).alias("h"), F.greatest(a, spot).alias("a")))
+    task = F.xxhash64("shard", "x.h", "x.a")  # two chunks meet once, under the lesser one's number
+
+    def compare(batches):
+        for t in common.whole_groups(batches, "task", 1 << 16):
+            task, fp, n, label = (t.column(c).to_numpy() for c in ("task", "fp", "n", "label"))
+            wide = t.column("wide").combine_chunks()
+            wide = pa.concat_arrays(wide.chunks) if isinstance(wide, pa.ChunkedArray) else wide
+            bits = np.ascontiguousarray(wide.flatten().to_numpy().view(np.uint64).reshape(len(fp), -1))
+
+            def may(i, j):
+                hit = np.flatnonzero((fp[i] != fp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9))
+                i, j = i[hit], j[hit]
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.uint16)
+                near = (differ <= limit) | (np.minimum(n[i], n[j]) < SIEVED)
+                return i[near], j[near]
+
+            found = []
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+            size = np.diff(edge)
+            if leaders:
+                few = np.repeat(size <= FEW, size)
+                for k in range(1, min(FEW, int(size.max(initial=1)))):
+                    a = np.flatnonzero(few[:-k] & (task[:-k] == task[k:]))
+                    found.append(may(a, a + k))
+            for g in np.flatnonzero(size > (FEW if leaders else 1)):
+                left = np.arange(edge[g], edge[g + 1])
+                if not leaders and (label[left] == label[left[0]]).all():
+                    continue
+                while len(left) > 1:
+                    first, left = left[0], left[1:]
+                    other = left if leaders else left[label[left] != label[first]]
+                    found.append(may(np.full(len(other), first), other))
+                    if leaders:
+                        left = np.setdiff1d(left, found[-1][1], assume_unique=True)
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield from pa.table({"u": np.minimum(fp[i], fp[j]), "v": np.maximum(fp[i], fp[j])}).to_batches()
+
+    dealt = cut.select("shard", "fp", "n", "wide", "label", F.explode(meets).alias("x")).select(task.alias("task"), "fp", "n", "wide", "label")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, similarity: float, max_broadcast: int = 100_000) -> DataFrame:
+    """Those of pairs (u, v) whose sets of distinct shingles have the similarity; first has a row of docs for each fp."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    keys = common.written(first.join(wanted, "fp").select("fp", F.col("first.doc_id").alias("k_id"), F.col("first.text_hash").alias("k_hash")), "wanted")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(keys) if keys.count() <= max_broadcast else keys, same).select("fp", "text")
+
+    def run(batches):
+        for b in batches:
+            for fp, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                held = np.unique(shingle_hashes(t or b"", shingle)).view("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([fp], pa.int64()), pa.array([held], pa.list_(pa.int64()))], names=["fp", "held"])
+
+    sets = common.written(texts.mapInArrow(run, "fp long, held array<long>").dropDuplicates(["fp"]), "sets")
+    one, two = sets.select(F.col("fp").alias("u"), F.col("held").alias("a")), sets.select(F.col("fp").alias("v"), F.col("held").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    enough = both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9
+    return pairs.join(one, "u").join(two, "v").where(enough).select("u", "v")
 
 
 def similar_groups(
@@ -300,30 +405,40 @@ def similar_groups(
     shingle: int = 5,
     similarity: float = 0.8,
     words: int = 10,
-    band_bits: int = 16,
+    bands: int = 20,
+    rows: int = 4,
 ) -> DataFrame:
-    """doc_id, fp, component_id, with links between texts of a shingle similarity (Jaccard) of `similarity` or more.
-
-    Two shingle sets of Jaccard similarity s have cosine 2s / (1 + s), and each fingerprint bit differs
-    with probability acos(cosine) / pi. So fingerprints of `words` * 64 bits are linked up to that share of
-    differing bits. A share that high leaves no triangle bound to prune by; the blocks (of band_bits) are
-    then searched with radius zero, where a tree's leaf is a block's value. With 40 blocks of 16 bits a
-    pair at similarity 0.8 shares a block with probability 0.95, one at 0.9 with 0.999.
+    """doc_id, text_hash, fp, component_id, with links between texts of a shingle similarity (Jaccard) of `similarity` or more.
+
+    Links are exact: each is checked on the sets of distinct shingles. Texts with equal sets are collapsed before.
+    Candidates share a band of `rows` minima, whatever their length: with 20 bands of 4 a pair at similarity 0.8 does
+    with probability 0.99997. Two sets of similarity s have a cosine of 2s / (1 + s) at least, and each fingerprint bit
+    differs with probability acos(cosine) / pi; candidates with six standard deviations more are sieved out, unless
+    one is short. A crowded shard's rows are first checked against leaders; then all its candidates that the links so
+    far leave in different components are checked, so a large group of copies never needs all its pairs.
     """
-    limit = int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 4
-    fps = common.written(
-        fingerprints(docs, shingle, words).select("doc_id", F.xxhash64("wide").alias("fp"), "wide"), "fingerprints"
+    total = 64 * words
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = math.ceil(total * share + 6 * math.sqrt(total * share * (1 - share)))
+    fps = common.written(sketches(docs, shingle, words, bands, rows), "sketches")
+    first = common.written(
+        fps.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "wide", "bands")]),
+        "distinct",
     )
-    first = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("wide").alias("wide")), "distinct")
-    per_word = 64 // band_bits
-    bands = [
-        F.shiftright(F.element_at("wide", w + 1), band_bits * k).bitwiseAND(F.lit((1 << band_bits) - 1)) + F.lit((w * per_word + k) << band_bits)
-        for w in range(words)
-        for k in range(per_word)
-    ]
-    spread = first.select(F.explode(F.array(*bands)).alias("shard"), "fp", "wide", F.lit(True).alias("home"))
-    links = links_in_shards(spread, crowded_shards(spread.select("shard", "home")), limit)
-    return _named(fps.select("doc_id", "fp"), first.select("fp", "first_id"), common.connected_components(links))
+    spread = first.select(F.explode("bands").alias("shard"), "fp", "n", "wide", F.col("fp").alias("label"))
+    large = common.written(spread.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW), "sizes")
+    sizes = large.select("shard", F.ceil(F.col("rows") / CHUNK_ROWS).cast("int").alias("na")).where("na > 1")
+    pairs = common.written(candidates(spread, sizes, similarity, limit, True), "candidates")
+    links = common.written(verified(pairs, docs, first, shingle, similarity), "links")
+    labels = common.connected_components(links)
+    n_large = large.count()
+    if n_large:
+        crowd = spread.join(F.broadcast(large) if n_large <= 100_000 else large, "shard", "left_semi").drop("label")
+        crowd = crowd.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("shard", "fp", "n", "wide", F.coalesce("label", "fp").alias("label"))
+        more = common.written(candidates(crowd, sizes, similarity, limit, False).join(pairs, ["u", "v"], "left_anti"), "candidates")
+        links = links.union(verified(more, docs, first, shingle, similarity))
+        labels = common.connected_components(links)
+    return _named(fps.select("doc_id", "text_hash", "fp"), first.select("fp", "first_id"), labels)
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:

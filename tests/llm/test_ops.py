@@ -280,3 +280,38 @@ def test_toxicity_inflected_forms():
     assert len(shared) == 1
     assert len(toxicity.bins(["short"], memo)) == 1
     assert len(toxicity.bins([], memo)) == 0
+
+
+def test_similar_groups_equal_brute_force(spark, docs, monkeypatch):
+    word = lambda i: f"w{i}"
+    texts = [r["text"] or "" for r in docs.collect()]
+    for k in range(2, 60):  # short texts about the limit, and long ones of 500 shingles with a share of words replaced
+        texts += [" ".join(word(1000 * k + i) for i in range(k + 4)), " ".join(word(1000 * k + i) for i in range(k + 3))]
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        base = [word(10**6 + 1000 * k + i) for i in range(504)]
+        other = list(base)
+        for at in rng.choice(504, size=int(rng.integers(8, 16)), replace=False):
+            other[at] = "x" + other[at]
+        texts += [" ".join(base), " ".join(other)]
+    base = [word(10**8 + i) for i in range(300)]  # a crowded group of near copies, no pair of which need be similar
+    texts += [" ".join(w if i % 29 != k % 29 and i % 31 != k % 31 else f"{w}y{k}" for i, w in enumerate(base)) for k in range(60)]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                group[b] = a
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: top(i) for i in range(len(texts))}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()} == want
+    monkeypatch.setattr(simhash, "CHUNK_ROWS", 16)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()} == want
