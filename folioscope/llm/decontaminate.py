@@ -1,26 +1,28 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words (runs without white space, outer punctuation stripped, lower-cased) become a template: numbers, names
-(capitalised words inside a sentence) and units turn into typed placeholders. Windows of `window` template words of
-the benchmark's items meet those of the documents in a hash join; an item's first word is left out, since only its
-place in a sentence tells a name. Windows of one document and item at one shift form an alignment. An alignment
-counts if it has at least `share` of the item's windows and its slots are consistent: over the aligned words, equal
-benchmark values stand for equal document values and different ones for different ones, type by type. So a question
+(runs of capitalised words inside a sentence) and units turn into typed placeholders. Windows of `anchor` template words
+of the benchmark's items meet those of the documents in a hash join; an item's first word is left out, since only its
+place in a sentence tells a name. Windows of one document and item at one shift form an alignment, and alignments whose
+shifts are no more than `gap` apart form a chain, so that inserted, dropped or changed words only cost the windows over
+them. A chain counts if its windows cover at least `share` of the item's words, or if `window` words on end agree word
+for word, values included; and if its slots are consistent: names and units one to one, and of the numbers more than
+`steady` have the commonest document value of their benchmark value (different numbers may become equal). So a question
 with other names and numbers is caught, and `verbatim` says whether all slots agree.
 
 All of it is built-in expressions. The benchmark's windows are broadcast if there are at most `max_broadcast` of them,
 else joined by shuffle; the same goes for the rows that the slots are checked on. Items with equal templates and slots
 are compared once, under the least item_id, and given back together.
 
-Defined results: null and empty texts match nothing; an item of fewer than `window` + 1 words is matched by one window
-of all its words but the first, and one of fewer than `least` + 1 words never; repeated rows of a document give one row
+Defined results: null and empty texts match nothing; an item of fewer than 2 * `anchor` + 1 words is matched by
+windows of `least` words, and one of fewer than `least` + 1 words never; repeated rows of a document give one row
 per item; rows are keyed by doc_id and text, so a null doc_id is a document too; other columns are ignored; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,8 +39,17 @@ UNITS = (
 PUNCTUATION = ".,;:!?()[]{}\"'`*#%&$€£+-–—…«»“”‘’|"
 
 
+#: The blank between two capitalised words of which the first is inside a sentence.
+RUN = r"\s(?=\p{Lu})(?<=[^\s.!?:\"]\s\p{Lu}[\p{L}\p{N}'’-]{0,40}\s)"
+
+
+def joined(text: Column) -> Column:
+    """text with each run of name words as one word."""
+    return F.regexp_replace(text, RUN, "_")
+
+
 def words(text: Column) -> Column:
-    return F.split(text, r"\s+")
+    return F.split(joined(text), r"\s+")
 
 
 def slots(text: Column) -> Column:
@@ -56,8 +67,8 @@ def slots(text: Column) -> Column:
 
 
 OUTER = "[" + "".join("\\" + c if c in "[]-^\\" else c for c in PUNCTUATION) + "]"
-#: A capitalised word that the end of no sentence precedes, and what parts words.
-NAME = r"(?=\p{Lu})(?<=[^\s.!?:\"]\s)\p{Lu}\S*"
+#: Capitalised words that the end of no sentence precedes, run by run as joined() has them, and what parts words.
+NAME = r"(?=\p{Lu})(?<=[^\s.!?:\"]\s)(?:\p{Lu}[\p{L}\p{N}'’-]{0,40}\s(?=\p{Lu}))*+\p{Lu}\S*"
 BETWEEN = rf"{OUTER}*\s+{OUTER}*"
 
 
@@ -86,8 +97,32 @@ def windows(hashes: Column, size: int) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= size, F.slice(grown(h, 1), F.lit(1), F.size(h) - size + 1)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 5, share: float = 0.5, max_broadcast: int = 500_000) -> DataFrame:
-    """doc_id, text_hash, item_id, shift, n_windows, share, verbatim for each document and item with an alignment that counts."""
+def longest(ats: Column) -> Column:
+    """The most consecutive numbers in a sorted array."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(x: Column, at: Column) -> Column:
+        n = F.when(at == x["last"] + 1, x["n"] + 1).otherwise(1)
+        return F.struct(at.alias("last"), n.alias("n"), F.greatest(x["best"], n).alias("best"))
+
+    return F.aggregate(ats, start, step, lambda x: x["best"])
+
+
+def leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 13,
+    least: int = 5,
+    share: float = 0.5,
+    max_broadcast: int = 500_000,
+    anchor: int = 7,
+    gap: int = 13,
+    steady: float = 0.67,
+) -> DataFrame:
+    """doc_id, text_hash, item_id, shift, n_windows, share, verbatim for each document and item with a chain that counts.
+
+    shift is the chain's first, n_windows its number of different item windows, share the part of the item's words they cover.
+    """
     items = (
         benchmark.where("item_id is not null and text is not null")
         .select(F.col("item_id").cast("long").alias("item_id"), slots(F.col("text")).alias("s"), template(F.col("text")).alias("hashes"))
@@ -95,9 +130,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
         .agg(F.sort_array(F.collect_set("item_id")).alias("members"))
         .select(F.element_at("members", 1).alias("item"), "members", "s", "hashes", (F.size("s") - 1).alias("n"))
         .where(F.col("n") >= least)
-        .withColumn("size", F.least(F.col("n"), F.lit(window)))
+        .withColumn("size", F.when(F.col("n") >= 2 * anchor, anchor).otherwise(least))
     )
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # two values at most
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, shift int, n_windows long, share double, verbatim boolean")
@@ -115,32 +150,52 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
     for size in sizes:
         part = shaped.select("doc_id", "text_hash", F.lit(size).alias("size"), F.posexplode(windows(F.col("t"), size)).alias("pos", "h"))
         hits = part if hits is None else hits.union(part)
-    aligned = (
+    shifts = (
         hits.join(limited(of_item, n_windows), ["h", "size"])
-        .groupBy("doc_id", "text_hash", "item", (F.col("pos") - F.col("at") - 1).alias("shift"))
-        .agg(F.countDistinct("at").alias("n_windows"), F.min("at").alias("lo"), (F.max("at") + F.first("size")).alias("hi"))
-        .join(F.broadcast(items) if n_windows <= max_broadcast else items, "item")
-        .withColumn("share", F.col("n_windows") / (F.col("n") - F.col("size") + 1))
-        .where(F.col("share") >= share)
+        .groupBy("doc_id", "text_hash", "item", "size", (F.col("pos") - F.col("at") - 1).alias("shift"))
+        .agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    )
+    by_shift = Window.partitionBy("doc_id", "text_hash", "item").orderBy("shift")
+    far = F.coalesce(F.col("shift") - F.lag("shift").over(by_shift) > gap, F.lit(True))
+    covered = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda at: F.sequence(at, at + F.col("size") - 1))))
+    # Per shift, the places of the item's words and of the document's (those of words(), from 0).
+    spots = F.transform("parts", lambda x: F.transform(covered(x["ats"]), lambda k: F.struct((k + 1).alias("i"), (k + 1 + x["shift"]).alias("j"))))
+    run = F.array_max(F.transform("parts", lambda x: longest(x["ats"]))) + F.col("size") - 1
+    aligned = (
+        shifts.withColumn("far", far.cast("int"))
+        .withColumn("chain", F.sum("far").over(by_shift))
+        .groupBy("doc_id", "text_hash", "item", "size", "chain")
+        .agg(F.sort_array(F.collect_list(F.struct("shift", "ats"))).alias("parts"))
+        .withColumn("ats", F.array_distinct(F.flatten(F.col("parts.ats"))))
+        .join(F.broadcast(items.drop("size")) if n_windows <= max_broadcast else items.drop("size"), "item")
+        .withColumn("share", F.size(covered(F.col("ats"))) / F.col("n"))
+        .where((F.col("share") >= share) | (run >= window))
+        .select("doc_id", "text_hash", "item", F.element_at("parts.shift", 1).alias("shift"), F.size("ats").cast("long").alias("n_windows"), "share", "s", "members", spots.alias("spots"))
     )
-    aligned = common.written(aligned.select("doc_id", "text_hash", "item", "shift", "n_windows", "lo", "hi", "share", "s", "members"), "aligned")
+    aligned = common.written(aligned, "aligned")
     keys = aligned.select("doc_id", "text_hash").distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
     matched = named.alias("d").join(limited(keys, keys.count()).alias("k"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     held = matched.select("doc_id", "text_hash", slots(F.col("text")).alias("ds"))
     same = F.col("a.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("a.text_hash") == F.col("d.text_hash"))
     both = aligned.alias("a").join(held.alias("d"), same).select("a.*", "d.ds")
-    length = F.col("hi") - F.col("lo")
-    pairs = F.filter(
-        F.zip_with(
-            F.slice("s", F.col("lo") + 2, length),
-            F.slice("ds", F.col("shift") + F.col("lo") + 2, length),
-            lambda b, d: F.struct(b["t"].alias("t"), b["v"].alias("b"), d["v"].alias("d")),
-        ),
-        lambda p: (p["b"] != "") & (p["d"] != ""),
+    at = lambda spot: F.struct(F.get("s", spot["i"]).alias("b"), F.get("ds", spot["j"]).alias("d"), spot["i"].alias("i"))
+    both = both.withColumn("met", F.transform("spots", lambda part: F.transform(part, at)))
+    slot = lambda x: F.struct(x["b"]["t"].alias("t"), x["b"]["v"].alias("b"), x["d"]["v"].alias("d"))
+    both = both.withColumn("pairs", F.filter(F.transform(F.flatten("met"), slot), lambda p: (p["b"] != "") & (p["d"] != "")))
+    agree = F.transform("met", lambda part: F.array_sort(F.transform(F.filter(part, lambda x: x["b"]["v"] == x["d"]["v"]), lambda x: x["i"])))
+    both = both.withColumn("strict", F.filter("pairs", lambda p: p["t"] != "<num>")).withColumn("numbers", F.filter("pairs", lambda p: p["t"] == "<num>"))
+    side = lambda name: F.size(F.array_distinct(F.transform("strict", lambda p: F.struct(p["t"], p[name]))))
+    one_to_one = (F.size(F.array_distinct("strict")) == side("b")) & (side("b") == side("d"))
+    often = lambda p: F.size(F.filter("numbers", lambda q: q == p))
+    commonest = F.transform(
+        F.array_distinct(F.transform("numbers", lambda p: p["b"])),
+        lambda b: F.array_max(F.transform(F.filter("numbers", lambda p: p["b"] == b), often)),
     )
-    side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p[name]))))
-    checked = both.withColumn("pairs", pairs).where((F.size(F.array_distinct("pairs")) == side("b")) & (side("b") == side("d")))
+    held = F.aggregate(commonest, F.lit(0), lambda x, n: x + n)
+    quoted = F.array_max(F.transform(agree, longest)) >= window
+    consistent = one_to_one & (held >= steady * F.size("numbers"))
+    checked = both.where(quoted | ((F.col("share") >= share) & consistent))
     best = F.max_by(F.struct("shift", "n_windows", "share", F.forall("pairs", lambda p: p["b"] == p["d"]).alias("verbatim")), F.struct("n_windows", -F.col("shift")))
     return (
         checked.groupBy("doc_id", "text_hash", "item", "members")

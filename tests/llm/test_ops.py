@@ -315,3 +315,20 @@ def test_similar_groups_equal_brute_force(spark, docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()} == want
     monkeypatch.setattr(simhash, "CHUNK_ROWS", 16)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()} == want
+
+
+def test_decontamination_of_edited_copies(spark):
+    item = "In the old town Alice bought several apples for her sister and then Alice gave some pears to Bob before going home quickly"
+    sums = "So we add 3 and 5 and then 7 and 2 to the heap of 9 and 11 coins that were left over by others"
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    bench = spark.createDataFrame([(1, item), (2, sums), (3, long)], "item_id long, text string")
+    parts = item.split()
+    rows = [(i, 1, "well. " + " ".join([*parts[:i], "quite", *parts[i:]])) for i in range(2, len(parts))]
+    rows += [(100 + i, 1, "well. " + " ".join([*parts[:i], "quite", *parts[i + 1 :]])) for i in range(1, len(parts)) if parts[i].islower()]
+    rows += [(200, 1, "well. " + item.replace("Alice", "Carol Ann").replace("Bob", "Dave"))]
+    rows += [(300, 2, sums.replace("3", "4").replace("5", "4"))]
+    rows += [(400, 3, "he said " + " ".join(long.split()[20:38]) + " and left")]
+    none = [(500, "well. " + item.replace("Alice gave", "Carol gave")), (501, "he said " + " ".join(long.split()[20:30]) + " and left")]
+    every = [(i, t) for i, _, t in rows] + none
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(every, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, k) for i, k, _ in rows}
