@@ -30,15 +30,18 @@ ROUNDS = 10
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: The notations that are looked for, in order of precedence.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?<=(?i:token|secret|passwd|password|api[_-]?key)[\s\"']{0,3}[=:][\s\"']{0,3}[A-Za-z0-9+/_-]{16,256})"
+NAMED = r"(?<=(?i:token|secret|passwd|password|api[_-]?key)[\s\"']{0,3}[=:][\s\"']{0,3})"
+SECRET = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]){NAMED}[A-Za-z0-9+/_-]{{16,}}+"
 AWS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 SLASH_DATE = r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"
-CARD = r"(?<![\w-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])"
+PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\w+])\+[1-9]\d{7,14}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,12}){1,4}(?!\d)|(?<![\w+.-])[2-9]\d{2}[2-9]\d{6}(?![\w-])"
+#: The country codes of a number without blanks.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+CARD = r"(?<![\w-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])|(?<![\w-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])"
 ANY = "|".join((EMAIL, SECRET, AWS_KEY, ISO_DATE, IPV4, SSN, PHONE, CARD, SLASH_DATE))
 
 
@@ -139,7 +142,7 @@ def card(m: Column, key: str) -> Column:
 
 def phone(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
-        country = F.when(m.startswith("+") & ~m.rlike(r"^\+1(?!\d)"), F.length(F.regexp_extract(m, r"^\+(\d+)", 1))).otherwise(F.length(d) - 10)
+        country = F.when(m.rlike(r"^\+\d+$"), F.length(F.regexp_extract(m, COUNTRY, 1))).when(m.startswith("+") & ~m.rlike(r"^\+1(?!\d)"), F.length(F.regexp_extract(m, r"^\+(\d+)", 1))).otherwise(F.length(d) - 10)
         national = F.substring(d, country + 1, F.length(d))
         return F.concat(F.substring(d, F.lit(1), country), permuted_text(national, lambda c, i: F.lit(DIGITS), "phone", key))
 

@@ -332,3 +332,13 @@ def test_decontamination_of_edited_copies(spark):
     every = [(i, t) for i, _, t in rows] + none
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(every, "doc_id long, text string"), bench).collect()}
     assert got == {(i, k) for i, k, _ in rows}
+
+
+def test_pii_long_secrets_and_unseparated_numbers(spark):
+    secret = "a1B2" * 200
+    values = [secret, "+15551234567", "5552234567", "+442071234567", "+49 151 23456789", "3782 822463 10005"]
+    texts = [f"token={secret} end", *(f"call {v} now" for v in values[1:]), "card 3782 822463 10006 now", "at 1700000000 now"]
+    rows = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert [r["n_found"] for r in rows] == [1] * len(values) + [0, 0]
+    assert all(v not in r["text"] and len(r["text"]) == len(t) for v, r, t in zip(values, rows, texts, strict=False))
+    assert rows[1]["text"].startswith("call +1") and rows[3]["text"].startswith("call +44") and rows[4]["text"].startswith("call +49 ")
