@@ -7,12 +7,15 @@ Values are found by one pattern, validated by kind, and permuted within their ki
 * telephone numbers: the last ten digits (for other countries, all after the country code);
 * social security numbers of valid ranges; IPv4 addresses; calendar dates from 1900-01-01 to 2099-11-13, which
   go to another date of that span in the same notation;
-* the local part of e-mail addresses, and keys and tokens behind a naming word: letters and digits keep their class.
+* the local part of e-mail addresses: digits, lower-case and upper-case letters keep their class;
+* keys and tokens behind a naming word, of any length: digits, a-f, g-z, A-F and G-Z keep their class, so what is
+  hexadecimal stays so and nothing else becomes so.
 
 A network of ten rounds adds, in turn, a keyed hash of one half to each symbol of the other half, modulo the
-symbol's radix. That is a permutation of the format, and the same for all documents: equal values get equal
-pseudonyms and different values different ones, so links between documents survive. Only values count, not
-notation: a number with and without blanks gets the same digits. Without the key it can't be turned back.
+symbol's radix; a single symbol is taken as a pair of smaller ones. That is a permutation of the format, and the same
+for all documents: equal values get equal pseudonyms and different values of a kind different ones, as a value's
+classes, and with them its format, are those of its pseudonym. So links between documents survive. Only values count,
+not notation: a number with and without blanks gets the same digits. Without the key it can't be turned back.
 
 All of it is built-in expressions; a text without a digit or ``@`` is passed on unread.
 
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The notations that are looked for, in order of precedence.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 NAMED = r"(?<=(?i:token|secret|passwd|password|api[_-]?key)[\s\"']{0,3}[=:][\s\"']{0,3})"
@@ -41,8 +44,12 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\w+])\+[1-9]\d{7,14}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,12}){1,4}(?!\d)|(?<![\w+.-])[2-9]\d{2}[2-9]\d{6}(?![\w-])"
 #: The country codes of a number without blanks.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-CARD = r"(?<![\w-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])|(?<![\w-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])"
-ANY = "|".join((EMAIL, SECRET, AWS_KEY, ISO_DATE, IPV4, SSN, PHONE, CARD, SLASH_DATE))
+CARD = r"(?<![\w-])\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}(?![\d-])|(?<![\w-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])|(?<![\w-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])"
+#: One pattern; what no kind may stand behind, and what numbers start with, is asked once for all of them.
+NUMBER = "|".join((ISO_DATE, IPV4, SSN, PHONE, CARD, SLASH_DATE))
+ANY = rf"(?<![A-Za-z0-9])(?:{EMAIL}|{SECRET}|{AWS_KEY}|(?=[0-9+(])(?:{NUMBER}))|(?<=[A-Za-z])(?=[0-9])(?:{ISO_DATE}|{SLASH_DATE})"
+#: Stands around found values while a text is taken apart.
+MARK = "\u0001"
 
 
 def let(value: Column, use) -> Column:
@@ -50,13 +57,14 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def feistel(values: Column, radices: Column, kind: str, key: str) -> Column:
-    """A keyed permutation of an int array, each element below its radix."""
+def feistel(values: Column, radices: Column, kind, key: str) -> Column:
+    """A keyed permutation of an int array, each element below its radix; kind: a name or a column of names."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     half = F.floor(F.size(values) / 2).cast("int")
     cut = lambda a, first: F.slice(a, F.lit(1), half) if first else F.slice(a, half + 1, F.size(values) - half)
 
     def mixed(x: Column, y: Column, radix: Column, r: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.array_join(F.transform(y, lambda v: v.cast("string")), ","))
+        seed = F.concat_ws("|", F.lit(key), kind, r.cast("string"), F.array_join(F.transform(y, lambda v: v.cast("string")), ","))
         return let(
             seed,
             lambda s: F.transform(
@@ -75,31 +83,50 @@ def feistel(values: Column, radices: Column, kind: str, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
 
 
-def permuted_text(text: Column, alphabet, kind: str, key: str) -> Column:
-    """text with each character permuted in the alphabet that alphabet(character, number) gives; "" keeps it."""
+def permuted(values: Column, radices: Column, kind, key: str) -> Column:
+    """feistel(), also for arrays of one element with an even radix: that is permuted as its half and its remainder."""
+    lone = F.size(values) == 1
+    pair = lambda x, by: F.array(F.floor(F.element_at(x, 1) / 2).cast("int"), by)
+    several = F.when(lone, pair(values, F.element_at(values, 1) % 2)).otherwise(values)
+    limits = F.when(lone, pair(radices, F.lit(2))).otherwise(radices)
+    return let(let(F.struct(several.alias("v"), limits.alias("r")), lambda x: feistel(x["v"], x["r"], kind, key)), lambda p: F.when(lone, F.array(p[0] * 2 + p[1])).otherwise(p))
+
+
+def permuted_text(text: Column, alphabet, kind, key: str) -> Column:
+    """text with each character permuted in the alphabet that alphabet(character, number) gives; "" keeps it.
+
+    Only characters with an alphabet enter the network, so a kept one never makes a half of it idle.
+    """
     chars = F.split(text, "")
-    return let(
-        F.transform(chars, lambda c, i: F.struct(c.alias("c"), alphabet(c, i).alias("set"))),
-        lambda s: let(
-            feistel(
-                F.transform(s, lambda x: F.greatest(F.instr(x["set"], x["c"]) - 1, F.lit(0))),
-                F.transform(s, lambda x: F.greatest(F.length(x["set"]), F.lit(1))),
-                kind,
-                key,
-            ),
-            lambda v: F.array_join(
-                F.transform(s, lambda x, i: F.when(x["set"] == "", x["c"]).otherwise(F.substring(x["set"], F.element_at(v, i + 1) + 1, F.lit(1)))), ""
-            ),
-        ),
-    )
 
+    def filled(s: Column, at: Column) -> Column:
+        moved = F.transform(at, lambda i: F.element_at(s, i))
+        numbers = F.transform(moved, lambda x: F.instr(x["set"], x["c"]) - 1)
+        new = permuted(numbers, F.transform(moved, lambda x: F.length(x["set"])), kind, key)
+        place = lambda i: F.array_position(at, i + 1).cast("int")
+        put = lambda v: F.transform(s, lambda x, i: F.when(x["set"] == "", x["c"]).otherwise(F.substring(x["set"], F.get(v, place(i) - 1) + 1, F.lit(1))))
+        return F.array_join(let(new, put), "")
 
-def word_alphabet(text: Column):
-    """Classes of letters and digits; if all of the text is lower-case hexadecimal, that."""
-    is_hex = text.rlike("^[0-9a-f]+$")
-    return lambda c, i: (
-        F.when(is_hex, F.lit(HEX)).when(c.rlike("[0-9]"), F.lit(DIGITS)).when(c.rlike("[a-z]"), F.lit(LOWER)).when(c.rlike("[A-Z]"), F.lit(UPPER)).otherwise("")
-    )
+    def network(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.element_at(s, i)["set"] != "")
+        return let(at, lambda a: F.when(F.size(a) > 0, filled(s, a)).otherwise(text))
+
+    return let(F.transform(chars, lambda c, i: F.struct(c.alias("c"), alphabet(c, i).alias("set"))), network)
+
+
+def classes(*alphabets: str):
+    """Each character in the one of the alphabets that has it."""
+
+    def of(c: Column, i: Column) -> Column:
+        found = F.lit("")
+        for a in alphabets:
+            found = F.when(F.lit(a).contains(c), F.lit(a)).otherwise(found)
+        return found
+
+    return of
+
+
+NAMES, KEYS = classes(DIGITS, LOWER, UPPER), classes(DIGITS, LOWER[:6], LOWER[6:], UPPER[:6], UPPER[6:])
 
 
 def digits_of(m: Column) -> Column:
@@ -129,26 +156,6 @@ def luhn_sum(digits: Column) -> Column:
     )
 
 
-def card(m: Column, key: str) -> Column:
-    def new(d: Column) -> Column:
-        body = F.substring(d, F.lit(1), F.length(d) - 1)
-        return let(
-            permuted_text(body, lambda c, i: F.when(i > 0, F.lit(DIGITS)).otherwise(""), "card", key),
-            lambda p: F.concat(p, F.pmod(10 - luhn_sum(F.concat(p, F.lit("0"))) % 10, F.lit(10)).cast("string")),
-        )
-
-    return let(digits_of(m), lambda d: F.when(F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""), refilled(m, let(new(d), lambda n: n))))
-
-
-def phone(m: Column, key: str) -> Column:
-    def new(d: Column) -> Column:
-        country = F.when(m.rlike(r"^\+\d+$"), F.length(F.regexp_extract(m, COUNTRY, 1))).when(m.startswith("+") & ~m.rlike(r"^\+1(?!\d)"), F.length(F.regexp_extract(m, r"^\+(\d+)", 1))).otherwise(F.length(d) - 10)
-        national = F.substring(d, country + 1, F.length(d))
-        return F.concat(F.substring(d, F.lit(1), country), permuted_text(national, lambda c, i: F.lit(DIGITS), "phone", key))
-
-    return let(digits_of(m), lambda d: F.when(F.length(d).between(8, 15), let(new(d), lambda n: refilled(m, n))))
-
-
 def ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, *at).cast("int") for at in ((1, 3), (5, 2), (8, 4)))
     number = F.array(area - 1 - (area > 666).cast("int"), group - 1, serial - 1)
@@ -189,39 +196,49 @@ def date(m: Column, key: str) -> Column:
     return let(found, lambda d: F.when(F.datediff(d, first).between(0, 250 * 292 - 1), let(new(d), lambda n: shown(n, by_day))))
 
 
-def email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(let(local, lambda x: permuted_text(x, word_alphabet(x), "email", key)), F.substring(m, F.length(local) + 1, F.length(m)))
+def alphabet_of(kind: Column, skip: Column):
+    """By kind: names and keys by classes, numbers and access keys in one alphabet; the first `skip` characters are kept."""
+    return lambda c, i: F.when(i < skip, "").when(kind.isin("phone", "card"), DIGITS).when(kind == "key", UPPER + DIGITS).when(kind == "email", NAMES(c, i)).otherwise(KEYS(c, i))
+
+
+def in_place(m: Column, kind: Column, key: str) -> Column:
+    """The pseudonym of an e-mail address, key, token, card or telephone number; null if its digits are not valid."""
+
+    def new(d: Column) -> Column:
+        valid = F.when(kind == "phone", F.length(d).between(8, 15)).otherwise(F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""))
+        country = F.when(m.rlike(r"^\+\d+$"), F.length(F.regexp_extract(m, COUNTRY, 1))).when(m.startswith("+") & ~m.rlike(r"^\+1(?!\d)"), F.length(F.regexp_extract(m, r"^\+(\d+)", 1))).otherwise(F.length(d) - 10)
+        part = F.when(kind == "email", F.substring_index(m, "@", 1)).when(kind == "phone", d).when(kind == "card", F.substring(d, F.lit(1), F.length(d) - 1)).otherwise(m)
+        skip = F.when(kind == "phone", country).when(kind == "card", 1).when(kind == "key", 4).otherwise(0)
+        last = lambda p: F.pmod(10 - luhn_sum(F.concat(p, F.lit("0"))) % 10, F.lit(10)).cast("string")
+        made = let(F.struct(part.alias("p"), skip.alias("s")), lambda x: permuted_text(x["p"], alphabet_of(kind, x["s"]), kind, key))
+        whole = lambda p: F.when(kind == "card", F.concat(p, last(p))).otherwise(p)
+        shown = lambda p: F.when(kind.isin("phone", "card"), refilled(m, p)).when(kind == "email", F.concat(p, F.substring(m, F.length(p) + 1, F.length(m)))).otherwise(p)
+        return F.when(kind.isin("phone", "card") & ~valid, None).otherwise(let(let(made, whole), shown))
+
+    return let(digits_of(m), new)
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a found value, or null if it isn't valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    return (
-        F.when(m.contains("@"), email(m, key))
-        .when(whole(AWS_KEY), F.concat(F.substring(m, 1, 4), permuted_text(F.substring(m, F.lit(5), F.length(m)), lambda c, i: F.lit(UPPER + DIGITS), "key", key)))
-        .when(whole(ISO_DATE) | whole(SLASH_DATE), date(m, key))
-        .when(whole(IPV4), ipv4(m, key))
-        .when(whole(SSN), ssn(m, key))
-        .when(whole(PHONE), phone(m, key))
-        .when(whole(CARD), card(m, key))
-        .otherwise(let(m, lambda x: permuted_text(x, word_alphabet(x), "secret", key)))
-    )
+    kind = F.when(m.contains("@"), "email").when(whole(AWS_KEY), "key").when(whole(f"{ISO_DATE}|{SLASH_DATE}"), "date").when(whole(IPV4), "ipv4")
+    kind = kind.when(whole(SSN), "ssn").when(whole(PHONE), "phone").when(whole(CARD), "card").otherwise("secret")
+    return let(kind, lambda k: F.when(k == "date", date(m, key)).when(k == "ipv4", ipv4(m, key)).when(k == "ssn", ssn(m, key)).otherwise(in_place(m, k, key)))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised and n_found, the number of values that were replaced, after the other columns."""
     names = [c for c in docs.columns if c not in ("text", "n_found")]
     some = F.col("text").rlike("[0-9@]")
-    found = docs.select(*names, "text", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("__pii_found"))
-    new = found.select(
-        *names,
-        "text",
-        F.when(F.size("__pii_found") > 0, F.split("text", ANY, -1)).alias("__pii_between"),
-        F.when(F.size("__pii_found") > 0, F.transform("__pii_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))).alias("__pii_new"),
-    )
-    joined = F.array_join(
-        F.transform("__pii_between", lambda b, i: F.concat(b, F.coalesce(F.get("__pii_new", i)["new"], F.get("__pii_new", i)["old"], F.lit("")))), ""
+    # The pattern is searched once; only a text with the mark in it needs two searches.
+    once = F.split(F.regexp_replace("text", ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    twice = let(
+        F.struct(F.split("text", ANY, -1).alias("a"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("b")),
+        lambda x: F.flatten(F.transform(x["a"], lambda a, i: F.when(i < F.size(x["b"]), F.array(a, F.get(x["b"], i))).otherwise(F.array(a)))),
     )
+    cut = docs.select(*names, "text", F.when(some, F.when(F.col("text").contains(MARK), twice).otherwise(once)).alias("__pii_cut"))
+    found = F.when(F.size("__pii_cut") > 1, F.transform("__pii_cut", lambda m, i: F.struct(m.alias("old"), F.when(i % 2 == 1, pseudonym(m, key)).alias("new"))))
+    new = cut.select(*names, "text", found.alias("__pii_new"))
+    joined = F.array_join(F.transform("__pii_new", lambda x: F.coalesce(x["new"], x["old"])), "")
     count = F.size(F.filter("__pii_new", lambda x: x["new"].isNotNull()))
     return new.select(*names, F.coalesce(joined, F.col("text")).alias("text"), F.when(F.col("__pii_new").isNull(), 0).otherwise(count).alias("n_found"))
