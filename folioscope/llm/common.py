@@ -47,13 +47,17 @@ def whole_groups(batches, column: str, rows: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where unset."""
+    """This application's folder under the one that the cluster names in spark.checkpoint.dir.
+
+    Only a local session, as in tests, may leave that unset: it gets a folder of its own on the machine.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return f"{configured.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -65,16 +69,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folioscope_path = path
+    return table
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written(), once nothing reads them any more."""
+    for t in tables:
+        remove(t.sparkSession, t._folioscope_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that written() has left in this application; results that read them can't be read again."""
+    remove(spark, shared_dir(spark))
+
+
+def with_least(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """rows with a column least: the smallest value among the rows of the same key; n: the number of rows.
+
+    Keys with more than max(64, n / 10000) rows are at most 20,000 whatever n is, so their minima are broadcast and
+    their rows stay where they are; the rows of all other keys are joined by shuffle, and no task gets a large group.
+    """
+    limit = max(64, n // 10_000)
+    lowest = rows.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__low"), F.count("*").alias("__n"))
+    crowded = F.broadcast(lowest.where(F.col("__n") > limit).select("__key", F.col("__low").alias("least")))
+    tagged = rows.join(crowded, F.col(key) == F.col("__key"), "left")
+    others = tagged.where("__key is null").drop("__key", "least").join(lowest.where(F.col("__n") <= limit), F.col(key) == F.col("__key"))
+    return tagged.where("__key is not null").drop("__key").unionByName(others.withColumnRenamed("__low", "least").drop("__key", "__n"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -82,37 +109,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: columns u and v (long). Returns node, label for each node that has an edge to another.
     Alternates large-star and small-star rounds; each is written to the shared folder, so a lost
-    executor costs one round. A hub's row group is only ever aggregated or joined, never collected.
+    executor costs one round. It ends when a round gives the very edges that it was given. A hub's
+    edges are only ever aggregated in parts, and never meet in one task.
     """
     spark = edges.sparkSession
     now = written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges",
     )
-    state = None
+    count = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    state = count(now)
     for _ in range(max_rounds):
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
-        if not row["n"]:
+        n = state[0]
+        if not n:
             return spark.createDataFrame([], "node long, label long")
-        if (row["n"], row["s"]) == state:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = with_least(both, "u", "v", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+        low = with_least(large, "u", "v", 2 * n)
+        nxt = written(low.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        new = count(nxt)
+        done = new == state and nxt.join(now, ["u", "v"], "left_anti").isEmpty()
+        drop_written(now)
+        now, state = nxt, new
+        if done:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
-        state = (row["n"], row["s"])
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = written(small, "edges")
-        drop_written(now)
-        now = nxt
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 

@@ -280,7 +280,7 @@ def components(
     max_leaves: int = 8192,
     seed: int = 11,
 ) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs (doc_id, text): see the module's notes."""
+    """doc_id, fp, component_id, label (the component's key) for each row of docs (doc_id, text): see the module's notes."""
     fps = common.written(fingerprints(docs, shingle), "fingerprints")
     first = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     placed = place(first, radius, blocks, home_rows, max_leaves, seed)
@@ -289,10 +289,11 @@ def components(
 
 
 def _named(fps: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
-    """Give each fingerprint the smallest doc_id of its component, then each row its fingerprint's."""
+    """Give each fingerprint the smallest doc_id of its component, then each row its fingerprint's; label: the component's key."""
     label = first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = label.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return fps.join(label.join(least, "label").select("fp", "component_id"), "fp").select(*fps.columns, "component_id")
+    label = common.written(label, "labels")
+    least = common.with_least(label, "label", "first_id", label.count()).select("fp", F.col("least").alias("component_id"), "label")
+    return fps.join(common.written(least, "named"), "fp").select(*fps.columns, "component_id", "label")
 
 
 def sketches(docs: DataFrame, shingle: int, words: int, bands: int, rows: int, seed: int = 5) -> DataFrame:
@@ -408,7 +409,7 @@ def similar_groups(
     bands: int = 20,
     rows: int = 4,
 ) -> DataFrame:
-    """doc_id, text_hash, fp, component_id, with links between texts of a shingle similarity (Jaccard) of `similarity` or more.
+    """doc_id, text_hash, fp, component_id, label, with links between texts of a shingle similarity (Jaccard) of `similarity` or more.
 
     Links are exact: each is checked on the sets of distinct shingles. Texts with equal sets are collapsed before.
     Candidates share a band of `rows` minima, whatever their length: with 20 bands of 4 a pair at similarity 0.8 does
@@ -442,10 +443,16 @@ def similar_groups(
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that name their group: its smallest doc_id, once; rows without an id stay."""
-    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of docs for each group: that of the smallest doc_id, then of the smallest text hash; a null id comes last.
+
+    Rows are known by doc_id and text, so two texts under one id are two rows, and stay both if they are not alike.
+    Repeated rows leave one, whichever of them: they differ at most in columns that groups does not know.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")
+    keep = groups.groupBy("label").agg(first).select(F.col("x.doc_id").alias("__keep_id"), F.col("x.text_hash").alias("__keep_hash"))
+    known = docs.withColumn("__hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash"))
+    return known.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 common.ship(__name__)
