@@ -12,10 +12,12 @@ with other names and numbers is caught, and `verbatim` says whether all slots ag
 
 All of it is built-in expressions. The benchmark's windows are broadcast if there are at most `max_broadcast` of them,
 else joined by shuffle; the same goes for the rows that the slots are checked on. Items with equal templates and slots
-are compared once, under the least item_id, and given back together.
+are compared once, under the least item_id, and their ids joined again at the end.
 
 Defined results: null and empty texts match nothing; an item of fewer than 2 * `anchor` + 1 words is matched by
-windows of `least` words, and one of fewer than `least` + 1 words never; repeated rows of a document give one row
+windows of `least` words. One of `least` words or fewer says too little for a template: it is found where all its words
+stand in a row as they are (but for case and outer punctuation), and one of one or two words only where a document
+consists of nothing else; an item without words is never found. Repeated rows of a document give one row
 per item; rows are keyed by doc_id and text, so a null doc_id is a document too; other columns are ignored; an empty
 table gives an empty result.
 """
@@ -52,6 +54,11 @@ def words(text: Column) -> Column:
     return F.split(joined(text), r"\s+")
 
 
+def plain_words(text: Column) -> Column:
+    """The lower-cased words without outer punctuation; those of nothing else are left out."""
+    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION)))), lambda w: w != "")
+
+
 def slots(text: Column) -> Column:
     """For each word a struct: t, its template word, and v, its value if that is a placeholder (else empty)."""
 
@@ -108,6 +115,24 @@ def longest(ats: Column) -> Column:
     return F.aggregate(ats, start, step, lambda x: x["best"])
 
 
+FOUND = "doc_id long, text_hash long, item_id long, shift int, n_windows long, share double, verbatim boolean"
+
+
+def short_leaks(named: DataFrame, items: DataFrame, max_broadcast: int) -> DataFrame:
+    """The rows of leaks() for items (item_id, words) of a few words in documents (doc_id, text_hash, text)."""
+    sizes = sorted(r["n"] for r in items.select(F.size("words").alias("n")).distinct().collect())  # as many as there are lengths
+    keyed = items.select("item_id", F.size("words").alias("size"), F.array_join("words", " ").alias("all"))
+    wanted = keyed.select("size", "all").distinct()
+    at = lambda w, i, size: F.array_join(F.slice(w, i + 1, size), " ")
+    starts = lambda w, size: F.when((F.size(w) == size) | (F.lit(size > 2) & (F.size(w) > size)), F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+    spelled = lambda w, size: F.transform(starts(w, size), lambda i: F.struct(F.lit(size).alias("size"), i.alias("shift"), at(w, i, size).alias("all")))
+    every = let(plain_words(F.col("text")), lambda w: F.flatten(F.array(*[spelled(w, size) for size in sizes])))
+    spots = named.select("doc_id", "text_hash", F.explode(every).alias("x")).select("doc_id", "text_hash", "x.*")
+    met = spots.join(F.broadcast(wanted) if wanted.count() <= max_broadcast else wanted, ["size", "all"])
+    found = met.groupBy("doc_id", "text_hash", "all").agg(F.min("shift").alias("shift")).join(keyed.select("all", "item_id"), "all")
+    return found.select("doc_id", "text_hash", "item_id", "shift", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("share"), F.lit(True).alias("verbatim"))
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -123,19 +148,25 @@ def leaks(
 
     shift is the chain's first, n_windows its number of different item windows, share the part of the item's words they cover.
     """
+    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+    told = known.select("item_id", slots(F.col("text")).alias("s"), template(F.col("text")).alias("hashes"), plain_words(F.col("text")).alias("words"))
+    told = told.withColumns({"few": F.size("s") <= least, "k1": F.xxhash64("s", "hashes"), "k2": F.xxhash64(F.lit("template"), "s", "hashes")})
     items = (
-        benchmark.where("item_id is not null and text is not null")
-        .select(F.col("item_id").cast("long").alias("item_id"), slots(F.col("text")).alias("s"), template(F.col("text")).alias("hashes"))
-        .groupBy("s", "hashes")
-        .agg(F.sort_array(F.collect_set("item_id")).alias("members"))
-        .select(F.element_at("members", 1).alias("item"), "members", "s", "hashes", (F.size("s") - 1).alias("n"))
-        .where(F.col("n") >= least)
+        told.where(~F.col("few"))
+        .groupBy("k1", "k2")
+        .agg(F.min("item_id").alias("item"), F.first("s").alias("s"), F.first("hashes").alias("hashes"))
+        .withColumn("n", F.size("s") - 1)
         .withColumn("size", F.when(F.col("n") >= 2 * anchor, anchor).otherwise(least))
     )
+    members = told.where(~F.col("few")).select("k1", "k2", "item_id").join(items.select("k1", "k2", "item"), ["k1", "k2"]).select("item", "item_id")
+    items = items.drop("k1", "k2")
+    short = told.where(F.col("few") & (F.size("words") > 0)).select("item_id", "words")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # two values at most
     spark = docs.sparkSession
+    few = None if short.isEmpty() else short_leaks(named, short, max_broadcast)
     if not sizes:
-        return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, shift int, n_windows long, share double, verbatim boolean")
+        return few if few is not None else spark.createDataFrame([], FOUND)
     rest = F.slice("hashes", F.lit(2), F.col("n"))
     of_item = None
     for size in sizes:
@@ -144,12 +175,11 @@ def leaks(
     n_windows = of_item.count()
     limited = lambda df, n: F.broadcast(df) if n <= max_broadcast else df
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     shaped = named.select("doc_id", "text_hash", template(F.col("text")).alias("t"))
-    hits = None
-    for size in sizes:
-        part = shaped.select("doc_id", "text_hash", F.lit(size).alias("size"), F.posexplode(windows(F.col("t"), size)).alias("pos", "h"))
-        hits = part if hits is None else hits.union(part)
+    # One row per window, whatever its size, so that the template is made once.
+    sized = lambda t, size: F.coalesce(F.transform(windows(t, size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("pos"), h.alias("h"))), F.array())
+    every = let(F.col("t"), lambda t: F.flatten(F.array(*[sized(t, size) for size in sizes])))
+    hits = shaped.select("doc_id", "text_hash", F.explode(every).alias("w")).select("doc_id", "text_hash", "w.*")
     shifts = (
         hits.join(limited(of_item, n_windows), ["h", "size"])
         .groupBy("doc_id", "text_hash", "item", "size", (F.col("pos") - F.col("at") - 1).alias("shift"))
@@ -170,7 +200,7 @@ def leaks(
         .join(F.broadcast(items.drop("size")) if n_windows <= max_broadcast else items.drop("size"), "item")
         .withColumn("share", F.size(covered(F.col("ats"))) / F.col("n"))
         .where((F.col("share") >= share) | (run >= window))
-        .select("doc_id", "text_hash", "item", F.element_at("parts.shift", 1).alias("shift"), F.size("ats").cast("long").alias("n_windows"), "share", "s", "members", spots.alias("spots"))
+        .select("doc_id", "text_hash", "item", F.element_at("parts.shift", 1).alias("shift"), F.size("ats").cast("long").alias("n_windows"), "share", "s", spots.alias("spots"))
     )
     aligned = common.written(aligned, "aligned")
     keys = aligned.select("doc_id", "text_hash").distinct()
@@ -197,11 +227,13 @@ def leaks(
     consistent = one_to_one & (held >= steady * F.size("numbers"))
     checked = both.where(quoted | ((F.col("share") >= share) & consistent))
     best = F.max_by(F.struct("shift", "n_windows", "share", F.forall("pairs", lambda p: p["b"] == p["d"]).alias("verbatim")), F.struct("n_windows", -F.col("shift")))
-    return (
-        checked.groupBy("doc_id", "text_hash", "item", "members")
+    found = (
+        checked.groupBy("doc_id", "text_hash", "item")
         .agg(best.alias("x"))
-        .select("doc_id", "text_hash", F.explode("members").alias("item_id"), "x.*")
+        .join(members, "item")
+        .select("doc_id", "text_hash", "item_id", "x.*")
     )
+    return found if few is None else found.unionByName(few)
 
 
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
