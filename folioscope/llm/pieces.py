@@ -2,23 +2,26 @@
 
 A model is compiled to three transducers, which are composed with each input:
 
-* the normaliser: white-space rules (dummy prefix, squeezing, escaping); models with a character map
-  of their own are refused;
-* the lexicon: one arc per piece over a stretch of characters;
+* the normaliser: the model's character map (longest match first, else the character itself), then white-space
+  rules (dummy prefix, squeezing, escaping);
+* the lexicon: a trie whose arcs read characters and whose final states write a piece;
 * byte fallback: a character that no piece spells becomes its UTF-8 bytes' pieces.
 
-The encoding is the tropical-semiring shortest path of the composition. For a unigram model an arc
-weighs its piece's negative score. A BPE model is made exact by weighing pairs of neighbouring arcs: a
-pair weighs zero if merging the characters of both by the model's order leaves exactly these two
-pieces, else infinity. The path of finite weight is then unique and is what merging the whole input
-gives. It is searched from the longest arc on; a position found dead is not tried again.
+The encoding is the tropical-semiring shortest path of the composition. For a unigram model an arc weighs its
+piece's negative score, and positions are relaxed from left to right. A BPE model is made exact by weighing pairs of
+neighbouring arcs: a pair weighs zero if merging the characters of both by the model's order leaves exactly these two
+pieces, else infinity. The path of finite weight is then unique and is what merging the whole input gives. As all
+finite weights are zero, the search may go depth first, from the longest arc on, as long as no position that was found
+dead is tried again.
 
-No piece has a blank after another character (checked when compiling), so a text's paths are those of its
-words, end to end; they are remembered within a task, `MEMO` words at most. Whole texts are encoded.
+No piece has a blank after another character (checked when compiling), so a BPE model's paths over a text are those
+of its words, end to end; they are remembered within a task, `MEMO` words at most. A unigram model's sums run over
+the whole text, since which of two equal paths wins depends on how the running sum is rounded. Whole texts are encoded.
 
 Defined results: null and empty texts have no ids; a null text decodes to null again. U+2581 in a text is
-the blank's escape and decodes to a blank, which `round_trip` then shows. Repeated rows get equal results;
-other columns pass through; an empty table gives an empty result.
+the blank's escape and decodes to a blank, which `round_trip` then shows, as it shows what a character map or squeezed
+blanks have changed. Repeated rows get equal results; other columns pass through; an empty table gives an empty
+result. Models that put the blank behind a word, or leave blanks unescaped, are refused.
 """
 
 from __future__ import annotations
@@ -40,6 +43,34 @@ BLANK = "▁"
 MEMO = 300_000
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """What a compiled character map rewrites to what.
+
+    Fixed format: the trie's size (four bytes), a double array of 32-bit units, then the rewritten strings, each ended
+    by a zero byte. A unit holds its label in the low byte, a leaf flag in bit 8 and an offset in bits 10 to 30, which
+    bit 9 scales by 256; a leaf unit holds the place of its string.
+    """
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, strings = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    jump = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    rules, labels, stack = {}, np.arange(1, 256), [(int(jump(units[0])), b"")]
+    while stack:
+        base, key = stack.pop()
+        at = labels ^ base
+        at, c = at[at < len(units)], labels[at < len(units)]
+        here = (units[at] & 0x800000FF) == c
+        at, c = at[here], c[here]
+        down, leaf = at ^ jump(units[at]), (units[at] >> 8) & 1
+        for x, place, ends in zip(c.tolist(), down.tolist(), leaf.tolist(), strict=True):
+            if ends:
+                start = int(units[place]) & 0x7FFFFFFF
+                rules[key + bytes([x])] = strings[start : strings.index(b"\0", start)]
+            stack.append((place, key + bytes([x])))
+    return {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in rules.items()}
+
+
 class Model:
     """What is read from a model file: pieces, scores and kinds, and the normaliser's switches."""
 
@@ -49,9 +80,20 @@ class Model:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
+        self._read(proto)
+
+    @classmethod
+    def of(cls, proto) -> "Model":
+        """A model from a parsed file."""
+        model = cls.__new__(cls)
+        model._read(proto)
+        return model
+
+    def _read(self, proto) -> None:
         norm = proto.normalizer_spec
-        if norm.precompiled_charsmap or not norm.escape_whitespaces:
-            raise ValueError("models with a character map or unescaped blanks are not supported")
+        if not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models with unescaped blanks or blanks behind words are not supported")
+        self.rules = character_map(norm.precompiled_charsmap)
         self.pieces = [p.piece for p in proto.pieces]
         self.scores = [p.score for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
@@ -69,6 +111,63 @@ class Model:
         return b"".join(map(self.spell.__getitem__, ids)).decode("utf-8", "replace")[1 if self.prefix and ids else 0 :]
 
 
+class Normaliser:
+    """The character map and the white-space rules as one function of texts."""
+
+    def __init__(self, model: Model):
+        self.rules, self.prefix, self.squeeze = model.rules, model.prefix, model.squeeze
+        self.longest = max(map(len, self.rules), default=0)
+        heads = sorted({k[0] for k in self.rules})
+        self.head = re.compile("[" + "".join(map(re.escape, heads)) + "]") if heads else None
+
+    def mapped(self, text: str) -> str:
+        out, done, m = [], 0, self.head.search(text)
+        while m:
+            at = m.start()
+            for k in range(self.longest, 0, -1):
+                new = self.rules.get(text[at : at + k])
+                if new is not None and len(text) >= at + k:
+                    out += [text[done:at], new]
+                    done = at = at + k
+                    break
+            else:
+                at += 1
+            m = self.head.search(text, at)
+        return "".join([*out, text[done:]]) if out else text
+
+    def __call__(self, text: str) -> str:
+        new = self.mapped(text) if self.head else text
+        if self.squeeze:
+            new = re.sub(" +", " ", new.strip(" "))
+        if not (new if self.squeeze else text):
+            return ""
+        new = (BLANK if self.prefix else "") + new.replace(" ", BLANK)
+        return new.rstrip(BLANK) if self.squeeze else new
+
+
+class Lexicon:
+    """Pieces as a trie: step[(state, character)] is the next state, writes[state] the piece that ends there."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.step: dict[tuple[int, str], int] = {}
+        self.writes: dict[int, int] = {}
+        for text, i in pieces.items():
+            state = 0
+            for c in text:
+                state = self.step.setdefault((state, c), len(self.step) + 1)
+            self.writes[state] = i
+
+    def arcs(self, text: str, at: int):
+        """(end, piece) of the composition's arcs from a position, shortest first."""
+        state, step, writes = 0, self.step, self.writes
+        for end in range(at, len(text)):
+            state = step.get((state, text[end]), -1)
+            if state < 0:
+                return
+            if state in writes:
+                yield end + 1, writes[state]
+
+
 class Transducer:
     """A compiled model. Piece kinds: 1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6 byte."""
 
@@ -78,17 +177,19 @@ class Transducer:
         self.score = model.scores
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == 6}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == 2), 0)
-        self.longest = max(map(len, self.arcs), default=1)
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.arcs):
             raise ValueError("a piece goes past the end of a word")
+        self.normalise, self.lexicon = Normaliser(model), Lexicon(self.arcs)
         joined = {c for p in self.arcs if len(p) > 1 for c in p}
         self.line_cut = "\n" not in joined
-        scores = [self.score[i] for p, i in self.arcs.items() if len(p) > 1]
-        self.tied = len(set(scores)) < len(scores)
-        self.tied_score = {s for s in scores if scores.count(s) > 1} if self.tied and len(scores) < 1000 else self._repeated(scores)
         self.spines: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
-        self.worst = min(self.score, default=0.0) - 1 - 10 * self.longest
+        own = [s for s, k in zip(model.scores, model.kinds, strict=True) if k == 1]
+        # Fixed value: a character that no piece spells costs ten more than the worst piece.
+        self.worst = np.float32(min(own, default=0.0)) - np.float32(10)
+        # A piece that the user has set beats any pieces over the same characters.
+        free = np.float32(max(own, default=0.0))
+        self.weight = [float(len(p.encode()) * free) - 0.1 if k == 4 else float(np.float32(s)) for p, s, k in zip(model.pieces, model.scores, model.kinds, strict=True)]
         # Pieces that merging can give, and the lengths that those have by their first three characters.
         self.usable = {p: i for p, i in self.arcs.items() if not self.bpe or len(p) == 1 or self.spine(i) is not None}
         lengths: dict[str, set[int]] = {}
@@ -96,15 +197,8 @@ class Transducer:
             lengths.setdefault(p[:3], {1, 2}).add(len(p))
         self.lengths = {p: tuple(sorted(k, reverse=True)) for p, k in lengths.items()}
 
-    @staticmethod
-    def _repeated(scores: list[float]) -> set[float]:
-        seen, again = set(), set()
-        for s in scores:
-            (again if s in seen else seen).add(s)
-        return again
-
     def merge(self, text: str) -> list[str]:
-        """The model's own merging order: the best-scored neighbouring pair first, then the leftmost."""
+        """Merging in the model's order: the best-scored neighbouring pair first, then the leftmost. Only pieces are merged, to weigh them."""
         part, nxt, prv = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
         heap, arcs, score = [], self.arcs, self.score
 
@@ -185,10 +279,10 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """The ids on the shortest path over one normalised stretch of text."""
-        if not self.bpe:
-            return self._viterbi(text)
-        if len(text) > 1 and BLANK * 2 in text:
-            return [i for p in self.merge(text) for i in ([self.arcs[p]] if p in self.arcs else self.fallback(p))]
+        return self._joined(text) if self.bpe else self._relaxed(text)
+
+    def _joined(self, text: str) -> list[int]:
+        """The path whose pairs all weigh zero, depth first; the lexicon is read by lengths, which is the trie from its ends."""
         arcs, lengths, fits, wide = self.usable, self.lengths, self.fits, len(self.score)
         n, dead, at, starts, taken, size = len(text), set(), 0, [], [], len(text)
         while at < n:
@@ -217,25 +311,31 @@ class Transducer:
                 taken.pop()
         return [i for s, p in zip(starts, taken, strict=True) for i in ([p] if p >= 0 else self.fallback(text[s]))]
 
-    def _viterbi(self, text: str) -> list[int]:
-        n = len(text)
-        best, back = [0.0] + [math.inf] * n, [(0, -1)] * (n + 1)
-        for i in range(n):
-            if best[i] == math.inf:
-                continue
-            for k in range(1, min(self.longest, n - i) + 1):
-                p = self.arcs.get(text[i : i + k])
-                if p is None and k > 1:
-                    continue
-                cost = best[i] - (self.worst if p is None else self.score[p])
-                if cost < best[i + k]:
-                    best[i + k], back[i + k] = cost, (i, -1 if p is None else p)
+    def _relaxed(self, text: str) -> list[int]:
+        """The path of the least sum of arc weights; of equal ones, position by position, that with the longer last arc.
+
+        Sums are kept in single precision, as the models' own scores are, and compared in double.
+        """
+        n, worst = len(text), self.worst
+        best, back = [np.float32(0)] + [None] * n, [(0, -1)] * (n + 1)
+        for at in range(n):
+            single, here = False, float(best[at])
+            for end, piece in self.lexicon.arcs(text, at):
+                single |= end == at + 1
+                total = here + self.weight[piece]
+                if best[end] is None or total > best[end]:
+                    best[end], back[end] = np.float32(total), (at, piece)
+            if not single:
+                total = best[at] + worst
+                if best[at + 1] is None or total > best[at + 1]:
+                    best[at + 1], back[at + 1] = total, (at, -1)
         out, at = [], n
         while at > 0:
-            i, p = back[at]
-            out[:0] = [p] if p >= 0 else self.fallback(text[i])
-            at = i
-        return out
+            start, piece = back[at]
+            out.append([piece] if piece >= 0 else self.fallback(text[start]))
+            at = start
+        return [i for ids in reversed(out) for i in ids]
+
 
 class Encoder:
     """Encodes whole texts, remembering the paths of words."""
@@ -260,12 +360,11 @@ class Encoder:
         return got
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.t.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
+        text = self.t.normalise(text)
         if not text:
             return np.zeros(0, np.int32)
-        text = text.replace(" ", BLANK)
-        text = BLANK + text if self.t.model.prefix else text
+        if not self.t.bpe:
+            return np.array(self.t.path(text), np.int32)
         lines = text.split("\n") if self.t.line_cut else [text]
         end = np.array(self.t.fallback("\n") if "\n" not in self.t.arcs else [self.t.arcs["\n"]], np.int32).tobytes()
         out, word = [], self.word

@@ -136,7 +136,7 @@ def test_pieces_equal_the_library(spark, docs, odd):
 def test_unigram_path_is_the_cheapest():
     model = pieces.Model.__new__(pieces.Model)
     model.pieces, model.scores, model.kinds = ["<unk>", "a", "b", "ab", "abb", "bb"], [0.0, -2.0, -2.0, -2.5, -9.0, -1.0], [2, 1, 1, 1, 1, 1]
-    model.bpe = False
+    model.bpe, model.rules, model.prefix, model.squeeze = False, {}, False, False
     assert pieces.Transducer(model).path("abb") == [1, 5]
 
 
