@@ -6,8 +6,10 @@ A text is decoded to the language whose codeword has the least weighted logistic
 each bit counting by how well its classifier did on the training rows. The score is the language's
 share after a softmax of the losses; a small lead over the second language sets the flag `ambiguous`.
 
-Training uses at most `max_docs` labelled rows, spread evenly over the languages (the least by a hash
-of doc_id), and refuses more than `max_langs` languages; both bounds keep the driver's share constant.
+Training uses at most `max_docs` labelled rows, spread evenly over the languages (the least by a hash of doc_id,
+then by id and text), and at most two times `max_langs` where there are more languages than that. The `max_langs`
+commonest languages (the first by name, if equally common) are learned; texts of others are not learned from, and
+`left_out` counts them. Both bounds keep the driver's share constant.
 
 Defined results: a text that is null or has no letter gets `und` with score 0; if nothing could be
 learned, every text does. Rows with a null label, null id or no letter are not learned from. Repeated
@@ -89,8 +91,8 @@ def train(x: np.ndarray, y: np.ndarray, code: np.ndarray, rounds: int = 200) ->
 class Model:
     """Languages with their code and the bits' classifiers."""
 
-    def __init__(self, langs: list[str], code=None, fitted=None):
-        self.langs, self.code, self.fitted = langs, code, fitted
+    def __init__(self, langs: list[str], code=None, fitted=None, left_out: int = 0):
+        self.langs, self.code, self.fitted, self.left_out = langs, code, fitted, left_out
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row the best language's number, its score, and its lead over the second."""
@@ -108,17 +110,17 @@ class Model:
 def fit(labelled: DataFrame, max_docs: int = 1600, max_langs: int = 400) -> Model:
     """Train on labelled (doc_id, text, lang); see the module's notes for the bounds."""
     rows = labelled.where("lang is not null and doc_id is not null and text is not null")
-    counts = rows.groupBy("lang").count().limit(max_langs + 1).collect()
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    by_lang = rows.groupBy("lang").count()
+    counts = by_lang.orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return Model([])
+    left_out = by_lang.count() - len(counts)
     quota = max(2, max_docs // len(counts))
     spread = 1 << 30
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(spread, int(spread * (1.5 * quota + 20) / r["count"])))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(spread))
-    some = rows.withColumn("place", place).where(F.col("place") < rate[F.col("lang")]).where(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    some = rows.withColumn("place", place).where(F.col("place") < F.try_element_at(rate, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")))
     picked = some.withColumn("rank", rank).where(F.col("rank") <= quota).select("lang", "place", "text")
     table = byte_table()
 
@@ -137,7 +139,7 @@ def fit(labelled: DataFrame, max_docs: int = 1600, max_langs: int = 400) -> Mode
     y = np.array([langs.index(g[0]) for g in got])
     del got
     code = codewords(len(langs))
-    return Model(langs, code, train(x, y, code))
+    return Model(langs, code, train(x, y, code), left_out)
 
 
 def predict(docs: DataFrame, model: Model, lead: float = 0.1) -> DataFrame:
