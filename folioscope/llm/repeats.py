@@ -16,6 +16,8 @@ neighbours by range minima over the previous round's. A suffix whose common pref
 `length` starts a repeated window. As equal windows stand in the same column, suffixes of other columns need
 not be merged in, and a round is a sequential pass over arrays of one entry per sequence. These arrays take
 the place of the sequential files: a bin holds `bin_rows` sequences of at most 2 * length bytes, so they fit.
+The whole construction, with all columns' suffixes in one order and files that every round reads and writes from end
+to end, is in columns.py; it gives the same windows, and the README says what it costs.
 
 A gram with more than `max_group` different sequences is not gathered: its windows are counted one by one by
 their 128-bit hash instead, with partial counts before the shuffle, which is exact too.
@@ -126,7 +128,11 @@ def _run_array(found: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, max_group: int = 16384) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
+    """doc_id, n_bytes, spans, kept_sha256, text for each row of docs (doc_id, text).
+
+    spans are the maximal removed runs of bytes; text is what is left, whose bytes kept_sha256 is the hash of (a character
+    that a run has cut shows as U+FFFD in text only).
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # A text is named by 128 bits of its hash in all that follows.
     rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("text"), "text")})
@@ -140,16 +146,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, ma
             fields = [pa.array(c.astype(np.uint64).view(np.int64)) for c in cols[:2]] + [pa.array(cols[2], pa.int64())]
             fields += [pa.array(c.astype(np.int32)) for c in cols[3:]]
             segs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, names=["gram", "hash", "start", "anchor", "n"]))
-            sums = [hashlib.sha256(t).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.binary()), segs],
-                names=["doc_id", "k1", "k2", "n_bytes", "sha", "segs"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array([len(t) for t in texts], pa.int64()), segs], names=["k1", "k2", "n_bytes", "segs"])
 
-    cut_rows = common.written(rows.mapInArrow(cut, f"doc_id long, k1 long, k2 long, n_bytes long, sha binary, segs {SEGMENTS}"), "segments")
+    cut_rows = common.written(rows.mapInArrow(cut, f"k1 long, k2 long, n_bytes long, segs {SEGMENTS}"), "segments")
     texts = common.written(
         cut_rows.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.first("n_bytes").alias("n_bytes"), F.first("segs").alias("segs")), "texts"
     )
+    common.drop_written(cut_rows)
     places = texts.select("k1", "k2", "m", F.explode("segs").alias("s")).select("k1", "k2", "m", "s.*")
     grams = places.groupBy("gram").agg(F.sum("m").alias("c"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("c > 1")
     # As a table of its own the join's two sides are plain exchanges, so a hot gram's rows can be split.
@@ -158,7 +161,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, ma
 
     sequences = found.where("not alike").groupBy("gram", "hash").agg(F.sum("m").alias("copies"), F.min(F.struct("k1", "k2", "start", "anchor", "n")).alias("at"))
     sequences = common.written(sequences.select("gram", "hash", "copies", "at.*"), "sequences")
-    wanted = found.where("m = 1").select("k1", "k2").union(sequences.select("k1", "k2")).distinct()
+    wanted = sequences.select("k1", "k2").distinct()
     one_each = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     held = common.written(one_each.join(wanted, ["k1", "k2"], "left_semi"), "held")
 
@@ -178,8 +181,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, ma
 
     cuts = by_text.join(held, ["k1", "k2"]).select("cuts", "text")
     spelled = cuts.mapInArrow(slice_out, "gram long, hash long, copies long, anchor int, bytes binary")
-    large = sequences.groupBy("gram").count().where(F.col("count") > max_group).select("gram")
-    spelled = common.written(spelled.join(large.withColumn("crowded", F.lit(True)), "gram", "left"), "spelled")
+    # Of n sequences n / max_group grams at most are crowded.
+    large = common.written(sequences.groupBy("gram").count().where(F.col("count") > max_group).select("gram", F.lit(True).alias("crowded")), "crowded")
+    n_large = large.count()
+    if n_large:
+        spelled = spelled.join(F.broadcast(large) if n_large <= 100_000 else large, "gram", "left")
+    else:
+        spelled = spelled.withColumn("crowded", F.lit(None).cast("boolean"))
+    spelled = common.written(spelled, "spelled")
 
     def build(batches):
         def solve(b: pa.Table) -> pa.RecordBatch:
@@ -219,46 +228,35 @@ def remove_repeats(docs: DataFrame, length: int = 400, bin_rows: int = 16384, ma
     own = found.where("m = 1")
     whole = own.where("alike").select("k1", "k2", "start", F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))).alias("runs"))
     partly = own.where("not alike").join(small.union(crowded), ["gram", "hash"]).select("k1", "k2", "start", "runs")
-    spans = (
+    removed = (
         whole.union(partly)
         .select("k1", "k2", "start", F.explode("runs").alias("r"))
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct((F.col("start") + F.col("r.first")).alias("a"), (F.col("start") + F.col("r.last") + length).alias("b"))).alias("spans"))
     )
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")))
+    copied = texts.where((F.col("m") > 1) & (F.col("n_bytes") >= length)).select("k1", "k2", all_of_it.alias("spans"))
+    removed = common.written(removed.unionByName(copied), "spans")
 
     def strike(batches):
-        for b in batches:
-            out = []
-            for k1, k2, spans_, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                data, kept, end, n = text.encode(), [], 0, 0
-                for s in sorted((s["a"], s["b"]) for s in spans_):
-                    if n == 0 or s[0] > end:
-                        kept.append(data[end : s[0]])
-                        n += 1
-                    end = max(end, s[1])
-                kept.append(data[end:])
-                rest = b"".join(kept)
-                out.append((k1, k2, len(data) - len(rest), n, hashlib.sha256(rest).digest()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["k1", "k2", "n_removed", "n_spans", "rest"])
-
-    part = spans.join(held, ["k1", "k2"]).select("k1", "k2", "spans", "text").mapInArrow(strike, "k1 long, k2 long, n_removed long, n_spans long, rest binary")
-    gone = texts.where((F.col("m") > 1) & (F.col("n_bytes") >= length)).select(
-        "k1", "k2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.unhex(F.sha2(F.lit("").cast("binary"), 256)).alias("rest")
-    )
-    changed = common.written(part.union(gone), "changed")
-    return (
-        cut_rows.drop("segs")
-        .join(changed, ["k1", "k2"], "left")
-        .select(
-            "doc_id",
-            "n_bytes",
-            F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-            F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-            F.lower(F.hex(F.coalesce("rest", "sha"))).alias("kept_sha256"),
-        )
-    )
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                b, out = whole.slice(k, 64), []
+                for spans, text in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    runs_, end = [], -1
+                    for a, z in sorted((s["a"], s["b"]) for s in spans or ()):
+                        if a > end:
+                            runs_.append([a, z])
+                        end = runs_[-1][1] = max(end, z)
+                    edges = [0, *(x for r in runs_ for x in r), len(text)]
+                    rest = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if runs_ else text
+                    out.append((len(text), [{"start": a, "end": z} for a, z in runs_], hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
+                cols = list(zip(*out, strict=True))
+                kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "spans", "kept_sha256", "text"])
+
+    both = rows.join(removed, ["k1", "k2"], "left").select("doc_id", "spans", "text")
+    return both.mapInArrow(strike, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, text string")
 
 
 common.ship(__name__)

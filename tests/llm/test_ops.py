@@ -95,7 +95,9 @@ def test_repeats_equals_brute_force(spark, docs, odd):
         spans = sum(1 for i in range(len(t)) if cover[i] and (i == 0 or not cover[i - 1]))
         want[(doc, len(t), sum(cover), spans, hashlib.sha256(bytes(c for c, f in zip(t, cover, strict=True) if not f)).hexdigest())] += 1
     for limits in ({}, {"max_group": 1}, {"bin_rows": 5}):
-        assert collections.Counter(tuple(r) for r in repeats.remove_repeats(every, length, **limits).collect()) == want
+        got = repeats.remove_repeats(every, length, **limits).collect()
+        assert collections.Counter((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in got) == want
+        assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in got if "\ufffd" not in r["text"])
 
 
 def test_ann_recall_and_odd_vectors(spark):
