@@ -12,8 +12,8 @@ TOKENIZERS = "/opt/tokenizers"
 #: How the byte-level vocabularies split text, and the identifier that they leave free.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_DOCUMENT = 50256
-#: The pseudonyms' key; a deployment sets its own.
-PII_KEY = "folioscope"
+#: The pseudonyms' key for public test tables; a deployment sets its own in spark.folioscope.pii.key.
+TEST_KEY = "folioscope"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
-def op2_pii(spark: SparkSession, sf_dir: str, key: str = PII_KEY) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.folioscope.pii.key", TEST_KEY)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
