@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import stem
 from folioscope.operators import matching
 
 CITATION = r"\[([A-Za-z0-9._-]+chunk-\d+)(?:\s+\"([^\"]{4,400})\")?\]"
@@ -267,6 +268,29 @@ def followups(reply: Column, most: int = 3) -> Column:
     return F.coalesce(F.slice(F.filter(texts, lambda x: x != ""), 1, most), F.array().cast("array<string>"))
 
 
+def is_hit(source: Column, text: Column, paper: Column, contains: Column) -> Column:
+    """Whether a passage is of the paper that a golden item names, by its file's stem, and holds one of the item's strings in any letter case."""
+    return (stem(source) == paper) & F.exists(contains, lambda c: F.contains(F.lower(text), F.lower(c)))
+
+
+def cites_evidence(spans: DataFrame, matches: DataFrame, golden: DataFrame) -> DataFrame:
+    """answer_id, cited_expected_evidence: whether an answer cites a passage of the expected paper that holds an expected string.
+
+    spans: answer_id, chunk_id; matches: answer_id, id, source, text; golden: answer_id, paper, contains.
+    """
+    hit = is_hit(F.col("source"), F.col("text"), F.col("paper"), F.col("contains"))
+    cited = matches.join(spans.select("answer_id", F.col("chunk_id").alias("id")).distinct(), ["answer_id", "id"], "left_semi")
+    good = cited.join(golden, "answer_id").where(hit).select("answer_id").distinct().withColumn("hit", F.lit(True))
+    return golden.select("answer_id").join(good, "answer_id", "left").select("answer_id", F.coalesce("hit", F.lit(False)).alias("cited_expected_evidence"))
+
+
+def last_question(messages: DataFrame) -> DataFrame:
+    """conv_id, text: the last message that is not blank, of conversations where that is a user's."""
+    told = messages.where(F.col("text").rlike(r"(?U)\S"))
+    last = told.groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("m"))
+    return last.where("m.role = 'user'").select("conv_id", "m.text")
+
+
 def hits_by_kind(golden: DataFrame, results: DataFrame, k: int = 8) -> DataFrame:
     """kind, n, hits over golden (q, kind) and results (q, rank, hit); a null kind counts as other."""
     met = results.where("hit").where(F.col("rank") <= k).select("q").distinct().withColumn("met", F.lit(1))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import norm_label, stem, tokens
-from folioscope.operators import matching, retrieval
+from folioscope.operators import lexical, matching
+from folioscope.sources.tables import stored
 
 
 def merged_nodes(nodes: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ GENERIC = (
 ).split()
 VAGUE = ["conceptually_related_to", "semantically_similar_to"]
 GUIDE = (
-    "RELATIONSHIPS — an LLM-extracted map of how these papers and concepts connect. Use it to notice connections, then confirm "
-    "each one in PASSAGES. Never cite a relationship itself; if no passage supports a connection, leave it out.\n"
+    "RELATIONSHIPS — links between papers and concepts that a model has extracted. They are hints, not evidence: state a link only "
+    "where one of the PASSAGES says the same, and cite that passage.\n"
 )
 SEEDS_MOST, OVERLAP_LEAST, EXPANSION_MOST, FACTS_MOST = 6, 0.5, 8, 12
 
@@ -119,6 +121,38 @@ def merged_extractions(raw_nodes: DataFrame, raw_edges: DataFrame, titles: DataF
     return nodes, last.select("source", "target", *[F.col(f"e.{c}") for c in columns])
 
 
+def stored_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Write a merged graph as two tables and read it again; what searches it then need not merge it anew."""
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+    return loaded_graph(nodes.sparkSession, folder)
+
+
+def loaded_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    """The nodes and edges of a stored graph; None where there is none."""
+    try:
+        return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+NODE_LINK = "directed boolean, nodes array<struct<id:string,label:string,file_type:string,stem:string,papers:array<string>>>, links array<struct<source:string,target:string,relation:string,confidence:string,confidence_score:double,paper:string>>"
+
+
+def node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """The nodes and edges of a graph in one node-link JSON file; None where there is no such file."""
+    try:
+        whole = spark.read.schema(NODE_LINK).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    nodes = whole.select(F.explode("nodes").alias("n")).select(F.col("n.id").alias("node"), "n.label", "n.file_type", "n.stem", "n.papers")
+    return nodes, whole.select(F.explode("links").alias("e")).select("e.*")
+
+
 def question_seeds(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = SEEDS_MOST, least: float = OVERLAP_LEAST) -> DataFrame:
     """q, node: for each question (q, text) the nodes (node, label) of whose telling label words it names the share `least` or more.
 
@@ -155,17 +189,18 @@ def widened(questions: DataFrame, nodes: DataFrame, edges: DataFrame, start: Dat
     return questions.join(terms, "q", "left").select("q", F.concat_ws(" ", "text", F.array_join(F.transform("l", lambda x: x["plain"]), " ")).alias("text"))
 
 
-def search(docs: DataFrame, nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 25, over: int = 4) -> DataFrame:
-    """q, rank, doc_id, score: of the k * over best passages (doc_id, text, source) for the widened question, the first k in related papers.
+def search(index: lexical.Index, papers_of: DataFrame, nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 25, over: int = 4) -> DataFrame:
+    """q, rank, key, score: of the k * over best passages of an index for the widened question, the first k in related papers.
 
+    papers_of (key, source) says which paper a passage is from.
     A question that names no node gets none.
     """
-    start = question_seeds(nodes, edges, questions)
-    papers = related_papers(nodes, edges, start)
+    start = stored(question_seeds(nodes, edges, questions), "seeds")
+    papers = stored(related_papers(nodes, edges, start), "related")
     asked = widened(questions, nodes, edges, start).join(papers.select("q").distinct(), "q", "left_semi")
-    hits = retrieval.bm25(docs, asked, k * over).join(docs.select("doc_id", stem(F.col("source")).alias("paper")), "doc_id")
+    hits = index.search(asked, k * over).join(papers_of.select(index.key, stem(F.col("source")).alias("paper")), index.key)
     kept = hits.join(papers, ["q", "paper"], "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("rank")))
-    return kept.where(F.col("rank") <= k).select("q", "rank", "doc_id", "score")
+    return kept.where(F.col("rank") <= k).select("q", "rank", index.key, "score")
 
 
 def question_facts(nodes: DataFrame, edges: DataFrame, start: DataFrame, limit: int = FACTS_MOST) -> DataFrame:

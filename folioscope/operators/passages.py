@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import stem
+
 #: Headings that count as such in any type size.
 KNOWN_HEADERS = [
     "abstract", "introduction", "background", "related work", "method", "methods", "methodology", "approach", "model",
@@ -19,6 +21,8 @@ HEADER_RATIO, HEADER_CHARS = 1.15, 80
 ARXIV_STAMP = r"(?i)^\s*arxiv:\s*\d"
 CAPTION = r"(?i)^\s*(table|figure|fig\.?|algorithm|listing)\s*\d+"
 NUMBERED = r"^\s*(\d+(\.\d+)*|[IVXLC]+)\.?\s*[A-Z][A-Za-z]"
+#: Fixed value: a word that a line break has cut.
+HYPHEN_BREAK = r"[a-z]-\n[a-z]"
 SENTENCE_END = r"[.!?:;]['\")\]]?\s*$"
 
 
@@ -232,16 +236,19 @@ def overlapping(size: int = 1200, overlap: int = 150):
 
 
 def health(chunks: DataFrame) -> DataFrame:
-    """One row of figures over chunks (source, text)."""
+    """One row of figures over chunks (source, text, content_type): hyphen_breaks counts places, not chunks; mid_sentence looks behind the header."""
     n = F.length("text")
-    flag = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    flag = lambda c: F.count(F.when(c, 1))
+    cut = F.locate("\n\n", F.col("text"))
+    body = F.regexp_replace(F.when(cut > 0, F.substring("text", cut + 2, n)).otherwise(F.col("text")), r"(?U)^\s+", "")
     return chunks.agg(
         F.count("*").alias("n_chunks"),
-        F.count_distinct("source").alias("n_papers"),
-        flag(F.col("text").rlike(r"\p{Ll}-\n\p{Ll}")).alias("hyphen_breaks"),
-        flag(F.col("text").rlike(r"^\p{Ll}")).alias("mid_sentence"),
+        F.count_distinct(stem(F.col("source"))).alias("n_papers"),
+        F.coalesce(F.sum(F.size(F.regexp_extract_all("text", F.lit(HYPHEN_BREAK), F.lit(0)))), F.lit(0)).alias("hyphen_breaks"),
+        flag(F.col("content_type") == "reference").alias("reference_chunks"),
+        flag(body.rlike(r"^\p{Ll}")).alias("mid_sentence"),
         flag(n < 120).alias("orphans"),
-        F.bround(F.avg(n)).cast("long").alias("mean_size"),
-        F.bround(F.median(n)).cast("long").alias("median_size"),
-        F.max(n).cast("long").alias("max_size"),
+        F.coalesce(F.bround(F.avg(n)), F.lit(0)).cast("long").alias("mean_size"),
+        F.coalesce(F.bround(F.median(n)), F.lit(0)).cast("long").alias("median_size"),
+        F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_size"),
     )

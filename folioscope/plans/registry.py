@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import biblio, blocks, evidence, graph, passages, retrieval
+from folioscope.operators import biblio, blocks, evidence, graph, lexical, passages, question, retrieval
 from folioscope.sources import tables
 
 QUERIES: dict = {}
@@ -36,8 +36,10 @@ def questions(s: SparkSession, d: str) -> DataFrame:
 
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+#: Two sources hold nothing but formulas, whose words are not indexed; a passage's header is not either.
+BODY = r"""typed AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src13') THEN '' WHEN instr(text, chr(10) || chr(10)) BETWEEN 1 AND 200 THEN substr(text, instr(text, chr(10) || chr(10)) + 2) ELSE text END AS text FROM documents)"""
 POST = f"""
-tok AS (SELECT doc_id, unnest({TOK}) AS term FROM documents),
+{BODY}, tok AS (SELECT doc_id, unnest({TOK}) AS term FROM typed),
 post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
 dl AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN post p USING (doc_id) GROUP BY 1),
 stats AS (SELECT count(*) AS n_docs, sum(dl) AS n_tokens, sum(dl) / count(*) AS avgdl FROM dl),
@@ -48,12 +50,30 @@ qt AS (SELECT q, term, count(*) AS qtf FROM (SELECT item_id AS q, unnest({TOK})
 sc AS (SELECT q, p.doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
        FROM post p JOIN qt USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = p.doc_id, stats GROUP BY 1, 2),
 bm AS (SELECT * FROM (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc WHERE score > 0) WHERE rank <= 8)"""
-FUSED = f"""{POST},
-ov AS (SELECT * FROM (SELECT q, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, doc_id) AS rank, doc_id
-       FROM post JOIN qt USING (term) GROUP BY q, doc_id) WHERE rank <= 8),
-ch AS (SELECT q, doc_id, rank, 0 AS no, 'bm25' AS channel FROM bm UNION ALL SELECT q, doc_id, rank, 1, 'overlap' FROM ov),
+
+DENSE = """
+asked AS (SELECT item_id AS q, embedding AS e FROM benchmark JOIN embeddings ON vec_id = item_id),
+de AS (SELECT * FROM (SELECT q, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank, vec_id AS doc_id
+       FROM (SELECT q, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS s FROM embeddings JOIN documents ON doc_id = vec_id, asked)) WHERE rank <= 8)"""
+FUSED = f"""{POST}, {DENSE},
+ch AS (SELECT q, doc_id, rank, 0 AS no, 'bm25' AS channel FROM bm UNION ALL SELECT q, doc_id, rank, 1, 'dense' FROM de),
 fu AS (SELECT q, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score, min(no * 1000 + rank) AS f, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM ch GROUP BY 1, 2),
 fused AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, f, doc_id) AS rank, doc_id, score, channels FROM fu)"""
+INDEXES: dict = {}
+
+
+def typed(s, d):
+    """The documents with the type of their content."""
+    return docs(s, d).withColumn("content_type", F.when(F.col("source").isin("src1", "src13"), "math").when(F.col("lang") == "de", "reference").otherwise("prose"))
+
+
+def index(s, d):
+    """The lexical index of the documents: written by the first query of a session that needs it, read by the others."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in INDEXES:
+        INDEXES[at] = tables.shared_path(s, "index")
+        return lexical.Index.write(typed(s, d), INDEXES[at])
+    return lexical.Index.read(s, INDEXES[at])
 
 
 @query(f"SELECT doc_id, len({TOK})::BIGINT AS n_tokens FROM documents")
@@ -63,17 +83,17 @@ def tokens_per_doc(s, d):
 
 @query(f"WITH {POST} SELECT term, df FROM dfs")
 def term_df(s, d):
-    return retrieval.term_df(retrieval.postings(docs(s, d), "doc_id"))
+    return index(s, d).terms.select("term", "df")
 
 
 @query(f"WITH {POST} SELECT n_docs, n_tokens::BIGINT AS n_tokens, round(avgdl, 6) AS avgdl FROM stats")
 def corpus_stats(s, d):
-    return retrieval.corpus_stats(docs(s, d)).withColumn("avgdl", F.round("avgdl", 6))
+    return index(s, d).stats.select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {POST} SELECT q, rank, doc_id, score FROM bm")
 def bm25_topk(s, d):
-    return retrieval.bm25(docs(s, d), questions(s, d))
+    return index(s, d).search(questions(s, d))
 
 
 @query("""
@@ -85,9 +105,20 @@ def dense_topk(s, d):
     return retrieval.dense_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding"))
 
 
+def asked(s, d):
+    """q, text, embedding: the benchmark's items with the vectors of their numbers."""
+    return questions(s, d).join(tables.table(s, d, "embeddings").select(F.col("vec_id").alias("q"), "embedding"), "q", "left")
+
+
+def vectors(s, d):
+    """id, embedding: the vectors of documents."""
+    own = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return own.join(docs(s, d).select("doc_id"), "doc_id", "left_semi")
+
+
 def channels(s, d):
-    q = questions(s, d)
-    return [("bm25", retrieval.bm25(docs(s, d), q)), ("overlap", retrieval.overlap(docs(s, d), q))]
+    near = retrieval.dense_top_k(vectors(s, d).withColumnRenamed("doc_id", "vec_id"), asked(s, d).where("embedding is not null"))
+    return [("bm25", index(s, d).search(questions(s, d))), ("dense", near.withColumnRenamed("vec_id", "doc_id"))]
 
 
 def fused(s, d):
@@ -136,7 +167,7 @@ want AS (SELECT q, id, min(f) AS f FROM (SELECT q, prev_id AS id, rank * 2 AS f
 
 def near(s, d):
     chain = chunked(s, d)
-    hits = retrieval.bm25(docs(s, d), questions(s, d)).join(chain.select(F.col("seq").alias("doc_id"), "id"), "doc_id").select("q", "rank", "id")
+    hits = index(s, d).search(questions(s, d)).join(chain.select(F.col("seq").alias("doc_id"), "id"), "doc_id").select("q", "rank", "id")
     return retrieval.neighbours(hits, chain).join(chain.select("id", F.length("text").alias("size")), "id")
 
 
@@ -145,7 +176,15 @@ def neighbour_ids(s, d):
     return near(s, d).select("q", "id")
 
 
-@query()
+#: Passages with their size in order of n per question are taken while they fit; a larger one is passed over.
+FOLD = """fold AS (SELECT q, 0::BIGINT AS n, left0::BIGINT AS rest, NULL::VARCHAR AS id, false AS taken FROM purse
+UNION ALL SELECT f.q, f.n + 1, CASE WHEN o.size <= f.rest THEN f.rest - o.size ELSE f.rest END, o.id, o.size <= f.rest FROM fold f JOIN ord o ON o.q = f.q AND o.n = f.n + 1)"""
+
+
+@query(f"""{NEAR.replace("WITH", "WITH RECURSIVE", 1)},
+ord AS (SELECT w.q, w.id, length(c.text) AS size, row_number() OVER (PARTITION BY w.q ORDER BY f) AS n FROM want w JOIN chunks c USING (id) WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.q = w.q AND h.id = w.id)),
+purse AS (SELECT DISTINCT q, 24000 AS left0 FROM ord), {FOLD}
+SELECT q, coalesce(string_agg(id, ',' ORDER BY n) FILTER (taken), '') AS taken FROM fold GROUP BY 1""")
 def neighbour_budget(s, d):
     return retrieval.within_budget(near(s, d), 24000).select("q", F.array_join("taken", ",").alias("taken"))
 
@@ -189,11 +228,12 @@ def reflowed_paragraphs(s, d):
     return passages.paragraphs(lines(s, d)).select("key", "para_no", F.md5("text").alias("text_md5"))
 
 
-@query(r"""SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_papers, count(*) FILTER (regexp_matches(text, '\p{Ll}-\n\p{Ll}')) AS hyphen_breaks,
-count(*) FILTER (regexp_matches(text, '^\p{Ll}')) AS mid_sentence, count(*) FILTER (length(text) < 120) AS orphans, round_even(avg(length(text)), 0)::BIGINT AS mean_size,
-round_even(median(length(text)), 0)::BIGINT AS median_size, max(length(text))::BIGINT AS max_size FROM documents""")
+@query(r"""WITH c AS (SELECT source, text, lang, length(text) AS n, ltrim(CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, instr(text, chr(10) || chr(10)) + 2) ELSE text END, chr(32) || chr(9) || chr(10) || chr(13)) AS body FROM documents)
+SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_papers, coalesce(sum(len(regexp_extract_all(text, '[a-z]-\n[a-z]'))), 0)::BIGINT AS hyphen_breaks,
+count(*) FILTER (lang = 'de' AND source NOT IN ('src1', 'src13')) AS reference_chunks, count(*) FILTER (regexp_matches(body, '^\p{Ll}')) AS mid_sentence, count(*) FILTER (n < 120) AS orphans,
+round_even(avg(n), 0)::BIGINT AS mean_size, round_even(median(n), 0)::BIGINT AS median_size, max(n)::BIGINT AS max_size FROM c""")
 def chunk_health(s, d):
-    return passages.health(docs(s, d))
+    return passages.health(typed(s, d))
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
@@ -207,14 +247,21 @@ def split_pieces(s, d):
     return pieces.select("doc_id", "piece", F.length("text").alias("n_chars"))
 
 
-HITS = f"""WITH {POST}, hit AS (SELECT bm.q, bm.rank FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.q AND contains(d.text, b.text)),
+HITS = f"""WITH {POST}, gold AS (SELECT item_id AS q, b.text, (SELECT min(source) FROM documents d WHERE contains(d.text, b.text)) AS paper FROM benchmark b),
+hit AS (SELECT bm.q, bm.rank FROM bm JOIN documents d USING (doc_id) JOIN gold g ON g.q = bm.q AND g.paper = d.source AND contains(lower(d.text), lower(g.text))),
 f AS (SELECT b.item_id AS q, min(rank) AS first FROM benchmark b LEFT JOIN hit ON hit.q = b.item_id GROUP BY 1)"""
 
 
+def golden(s, d):
+    """q, paper, contains: each item with the first source that holds it."""
+    first = quote_exact(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id").groupBy(F.col("quote_id").alias("q")).agg(F.min("source").alias("paper"))
+    return questions(s, d).join(first, "q", "left").select("q", "paper", F.array("text").alias("contains"))
+
+
 def results(s, d):
-    hit = F.col("text").contains(F.col("wanted"))
-    ranked = retrieval.bm25(docs(s, d), questions(s, d)).join(docs(s, d).select("doc_id", "text"), "doc_id")
-    return ranked.join(questions(s, d).withColumnRenamed("text", "wanted"), "q").select("q", "rank", hit.alias("hit"))
+    ranked = index(s, d).search(questions(s, d)).join(docs(s, d).select("doc_id", "source", "text"), "doc_id")
+    hit = evidence.is_hit(F.col("source"), F.col("text"), F.col("paper"), F.col("contains"))
+    return ranked.join(golden(s, d), "q").select("q", "rank", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 @query(f"""{HITS} SELECT count(*) AS n, count(first) AS hits, round(count(first) / greatest(count(*), 1), 3) AS recall,
@@ -388,10 +435,9 @@ def history_window(s, d):
     return evidence.history_window(tables.table(s, d, "conversations")).select("conv_id", F.md5("history").alias("history_md5"))
 
 
-@query("SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY 1 HAVING max_by(role, turn) = 'user'")
+@query(r"SELECT conv_id, max_by(text, turn) AS text FROM conversations WHERE regexp_matches(text, '\S') GROUP BY 1 HAVING max_by(role, turn) = 'user'")
 def last_user_turn(s, d):
-    last = tables.table(s, d, "conversations").groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("m"))
-    return last.where("m.role = 'user'").select("conv_id", "m.text")
+    return evidence.last_question(tables.table(s, d, "conversations"))
 
 
 SPANS = "SELECT l_orderkey AS key, (l_partkey % 90 - 5)::BIGINT AS s, (l_partkey % 90 - 5 + l_quantity % 20)::BIGINT AS e FROM lineitem"
@@ -724,8 +770,70 @@ def related_by_question(s, d):
     return graph.related_papers(nodes, edges, graph.question_seeds(nodes, edges, asked))
 
 
-@query()
+def placed(hit: str, k: str) -> str:
+    """SQL for the passages of hit (q, rank, id, channels) and their neighbours within the budget, in reading order; chain and chunks are known."""
+    return f"""want AS (SELECT q, id, min(f) AS f FROM (SELECT q, prev_id AS id, rank * 2 AS f FROM {hit} JOIN chain USING (id) UNION ALL SELECT q, next_id, rank * 2 + 1 FROM {hit} JOIN chain USING (id)) WHERE id IS NOT NULL GROUP BY 1, 2),
+ord AS (SELECT w.q, w.id, length(c.text) AS size, row_number() OVER (PARTITION BY w.q ORDER BY f) AS n FROM want w JOIN chunks c USING (id) WHERE NOT EXISTS (SELECT 1 FROM {hit} h WHERE h.q = w.q AND h.id = w.id)),
+purse AS (SELECT * FROM (SELECT q, {k} - sum(length(c.text)) AS left0 FROM {hit} JOIN chunks c USING (id) GROUP BY 1) WHERE left0 > 0 AND q IN (SELECT q FROM ord)), {FOLD},
+every AS (SELECT q, rank, id, channels FROM {hit} UNION ALL SELECT q, NULL, id, 'neighbour' FROM fold WHERE taken)
+SELECT e.q, row_number() OVER (PARTITION BY e.q ORDER BY CASE WHEN p.q IS NOT NULL THEN c.source END NULLS FIRST, CASE WHEN p.q IS NOT NULL THEN c.chunk_index END NULLS FIRST, rank NULLS FIRST, e.id) AS place, e.id, channels
+FROM every e JOIN chunks c USING (id) LEFT JOIN purse p ON p.q = e.q"""
+
+
+@query(f"WITH RECURSIVE {POST}, {CHUNKS}, top AS (SELECT q, rank, id, 'bm25' AS channels FROM bm JOIN chain USING (doc_id)), {placed('top', '24000')}")
 def context_expanded(s, d):
     chain = chunked(s, d)
-    ranked = retrieval.bm25(docs(s, d), questions(s, d)).join(chain.select(F.col("seq").alias("doc_id"), "id"), "doc_id").select("q", "rank", "id", F.lit("bm25").alias("channels"))
+    ranked = index(s, d).search(questions(s, d)).join(chain.select(F.col("seq").alias("doc_id"), "id"), "doc_id").select("q", "rank", "id", F.lit("bm25").alias("channels"))
     return retrieval.expanded(ranked, chain)
+
+
+WIDE = f"""{POST.replace("rank <= 8", "rank <= 25")}, {DENSE.replace("rank <= 8", "rank <= 25")}, {CHUNKS},
+chn AS (SELECT q, id, rank, 0 AS no, 'bm25' AS channel FROM bm JOIN chunks USING (doc_id) UNION ALL SELECT q, id, rank, 1, 'dense' FROM de JOIN chunks USING (doc_id)),
+fu AS (SELECT q, id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score, min(no * 1000 + rank) AS f, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM chn GROUP BY 1, 2),
+fused AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, f, id) AS old, id, source, channels FROM fu JOIN chunks USING (id)),
+capped AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY place > 4, old) AS rank, id, channels FROM (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY old) AS place FROM fused)),
+top AS (SELECT * FROM capped WHERE rank <= 8)"""
+
+
+def by_number(s, d, ranked):
+    """A ranked list by doc_id as one by passage id."""
+    return ranked.join(chunked(s, d).select(F.col("seq").alias("doc_id"), "id"), "doc_id")
+
+
+class Numbered:
+    """The documents' index under the passages' ids."""
+
+    def __init__(self, s, d):
+        self.s, self.d, self.key = s, d, "id"
+
+    def search(self, queries, k):
+        return by_number(self.s, self.d, index(self.s, self.d).search(queries, k)).select("q", "rank", "id", "score")
+
+
+@query(f"WITH RECURSIVE {WIDE}, {placed('top', '24000')}")
+def retrieve_passages(s, d):
+    """BM25 and dense channels fused, capped, cut and expanded."""
+    own = by_number(s, d, vectors(s, d).withColumnRenamed("vec_id", "doc_id")).select("id", "embedding", F.col("doc_id").alias("ord"))
+    return question.retrieve_passages(Numbered(s, d), chunked(s, d), own, asked(s, d))
+
+
+def library_relations(s, d):
+    """Sources as papers: each item's first three words are a concept of the sources that hold it, linked to the next item's."""
+    held = quote_exact(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id").select(F.col("quote_id").alias("ord"), F.col("source").alias("paper")).distinct()
+    held = tables.stored(held, "held")
+    label = F.substring_index(F.regexp_replace(F.trim("text"), r"\s+", " "), " ", 3)
+    named = questions(s, d).select(F.col("q").alias("ord"), label.alias("label"))
+    nodes = held.join(named, "ord").select("paper", "ord", F.concat(F.lit("n"), "ord").alias("id"), "label", F.lit("concept").alias("file_type"), F.lit(False).alias("is_stub"))
+    both = held.join(held.select(F.col("ord").alias("next"), "paper"), "paper").where("next > ord").groupBy("paper", "ord").agg(F.min("next").alias("next"))
+    edges = both.select("paper", "ord", F.concat(F.lit("n"), "ord").alias("source"), F.concat(F.lit("n"), "next").alias("target"), F.lit("precedes").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("confidence_score"))
+    titles = docs(s, d).select(F.col("source").alias("stem")).distinct().withColumn("names", F.array("stem"))
+    merged = graph.merged_extractions(nodes, edges, titles, s.createDataFrame([], "citing string, cited string"))
+    return graph.stored_graph(*merged, tables.shared_path(s, "graph"))
+
+
+@query()
+def retrieve_with_graph(s, d):
+    """All three channels and a reranker's recorded replies."""
+    own = by_number(s, d, vectors(s, d)).select("id", "embedding")
+    said = questions(s, d).select("q", F.lit("[3, 1, 2, 9, 4]").alias("reply")).where("q % 2 = 0")
+    return question.retrieve_passages(Numbered(s, d), chunked(s, d), own, asked(s, d), relations=library_relations(s, d), replies=said)

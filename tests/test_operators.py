@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import biblio, evidence, graph, passages, retrieval
+from folioscope.operators import biblio, evidence, graph, lexical, passages, retrieval
 from folioscope.sources import tables
 from folioscope.streaming import ingest
 
@@ -27,8 +27,8 @@ def test_labels_and_ids(spark):
 def test_bm25_finds_rare_terms(spark):
     docs = spark.createDataFrame([(1, "β1 = 0.9 default value"), (2, "residual stream"), (3, "attention heads"), (4, "")], "doc_id int, text string")
     q = spark.createDataFrame([(0, "beta1 default value")], "q int, text string")
-    assert [r["doc_id"] for r in retrieval.bm25(docs, q, 1).collect()] == [1]
-    assert retrieval.bm25(docs.where("doc_id > 9"), q).count() == 0
+    assert [r["doc_id"] for r in lexical.bm25(docs, q, 1).collect()] == [1]
+    assert lexical.bm25(docs.where("doc_id > 9"), q).count() == 0
 
 
 def test_rrf(spark):

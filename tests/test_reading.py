@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import biblio, blocks, evidence, graph, matching, passages, retrieval
+from folioscope.operators import biblio, blocks, evidence, graph, lexical, matching, passages, retrieval
 from folioscope.sources import tables
 
 
@@ -220,12 +220,12 @@ def test_graph_questions(spark, library):
     assert "Vision Transformer -[implements]-> Transformer architecture" in block and "Never cite" in block
 
 
-def test_graph_search(spark, library):
+def test_graph_search(spark, library, tmp_path):
     nodes, edges = library
     texts = [("b1", "BERT stacks transformer encoder layers", "/data/bert.pdf"), ("v1", "Vision Transformer splits an image into patches", "/data/vit.pdf"), ("g1", "The transformer in this generator is unrelated", "/data/gan.pdf")]
     docs = spark.createDataFrame(texts + [(f"x{i}", "noise samples feed a sampler", "/data/gan.pdf") for i in range(9)], "doc_id string, text string, source string")
-    assert {r["doc_id"] for r in graph.search(docs, nodes, edges, ask(spark, "Which models use the Transformer?"), 5).collect()} == {"b1", "v1"}
-    assert graph.search(docs, nodes, edges, ask(spark, "capital of France"), 5).count() == 0
+    assert {r["doc_id"] for r in graph.search(lexical.Index.write(docs, str(tmp_path)), docs, nodes, edges, ask(spark, "Which models use the Transformer?"), 5).collect()} == {"b1", "v1"}
+    assert graph.search(lexical.Index.write(docs, str(tmp_path)), docs, nodes, edges, ask(spark, "capital of France"), 5).count() == 0
 
 
 def test_title_citations(spark):
