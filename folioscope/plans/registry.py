@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
 from folioscope.operators import biblio, blocks, evidence, graph, lexical, passages, question, retrieval
+from folioscope.sources import library as lib
 from folioscope.sources import tables
 
 QUERIES: dict = {}
@@ -528,20 +529,21 @@ def library_graph(s, d):
 
 
 LIBRARY = """raw AS (SELECT l_partkey AS citing, l_suppkey AS cited, CASE WHEN l_returnflag = 'R' THEN 'cites' ELSE 'uses' END AS relation FROM lineitem WHERE l_partkey <> l_suppkey),
-me AS (SELECT citing, cited FROM raw WHERE citing % 2 = 0 UNION SELECT citing, cited FROM raw WHERE relation = 'cites')"""
+known AS (SELECT DISTINCT ps.l_partkey AS citing, ps.l_suppkey AS cited FROM lineitem ps WHERE l_linestatus = 'F' AND l_partkey <> l_suppkey),
+me AS (SELECT citing, cited FROM known UNION SELECT citing, cited FROM raw WHERE relation = 'cites')"""
 
 
 @query(f"WITH {LIBRARY} SELECT citing, cited FROM me")
 def map_edges(s, d):
-    raw = library_graph(s, d)
-    return graph.map_edges(raw.where("citing % 2 = 0"), raw)
+    base = tables.table(s, d, "lineitem").where("l_linestatus = 'F' AND l_partkey <> l_suppkey").select(F.col("l_partkey").alias("citing"), F.col("l_suppkey").alias("cited"))
+    return graph.map_edges(base, library_graph(s, d))
 
 
-@query(f"""WITH {LIBRARY}, p AS (SELECT p_partkey AS paper, p_size % 4 AS year FROM part WHERE p_partkey % 3 <> 0),
+@query(f"""WITH {LIBRARY}, p AS (SELECT p_partkey AS paper, p_size % 4 AS year FROM part),
 k AS (SELECT * FROM me WHERE citing IN (SELECT paper FROM p) AND cited IN (SELECT paper FROM p))
 SELECT paper, year, coalesce(nullif(year, 0), 9999) AS sort_year, (SELECT count(*) FROM k WHERE citing = paper) AS cites, (SELECT count(*) FROM k WHERE cited = paper) AS cited_by FROM p""")
 def library_map(s, d):
-    papers = tables.table(s, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("paper"), (F.col("p_size") % 4).alias("year"))
+    papers = tables.table(s, d, "part").select(F.col("p_partkey").alias("paper"), (F.col("p_size") % 4).alias("year"))
     return graph.map_rows(papers, map_edges(s, d))
 
 
@@ -566,10 +568,14 @@ def title_citations(s, d):
 IDS = [("https://arxiv.org/abs/1706.03762v7",), ("arXiv:2005.14165",), ("see arxiv.org/pdf/cs/0112017",), ("10.1000/xyz.123). done",), ("doi 10.48550/arXiv.1706.03762",), ("none",)]
 
 
-@query("""SELECT * FROM (VALUES ('https://arxiv.org/abs/1706.03762v7', '1706.03762v7', NULL), ('arXiv:2005.14165', '2005.14165', NULL), ('see arxiv.org/pdf/cs/0112017', 'cs/0112017', NULL),
-('10.1000/xyz.123). done', NULL, '10.1000/xyz.123'), ('doi 10.48550/arXiv.1706.03762', '1706.03762', NULL), ('none', NULL, NULL)) t(text, arxiv_id, doi)""")
+@query(r"""WITH every AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES ('i0', 'https://arxiv.org/abs/1706.03762v7'), ('i1', 'arXiv:2005.14165'), ('i2', 'see arxiv.org/pdf/cs/0112017'),
+('i3', '10.1000/xyz.123). done'), ('i4', 'doi 10.48550/arXiv.1706.03762'), ('i5', 'none')) t(id, text)),
+x AS (SELECT id, nullif(regexp_extract(text, '((?:\d{4}\.\d{4,5}|[a-zA-Z-]+(?:\.[a-zA-Z]{2})?/\d{7})(?:[vV]\d+)?)', 1), '') AS arxiv_id, regexp_extract(text, '\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)\b', 1) AS found FROM every)
+SELECT id, arxiv_id, CASE WHEN found <> '' AND NOT contains(found, '10.48550') THEN regexp_replace(found, '[.,;)]+$', '') END AS doi FROM x""")
 def identifiers(s, d):
-    return s.createDataFrame(IDS, "text string").select("text", tx.arxiv_id(F.col("text")).alias("arxiv_id"), tx.doi(F.col("text")).alias("doi"))
+    own = s.createDataFrame([(f"i{n}", t) for n, (t,) in enumerate(IDS)], "id string, text string")
+    every = docs(s, d).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(own)
+    return every.select("id", tx.arxiv_id(F.col("text")).alias("arxiv_id"), tx.doi(F.col("text")).alias("doi"))
 
 
 #: Bibliographic rows, and the entries that they give.
@@ -675,7 +681,7 @@ def overlapping_pieces(s, d):
     return pieces.select("doc_id", "piece", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-QUOTE = '[^.!?"]{4,60}'
+QUOTE = '[^.!?"]{4,400}'
 
 
 def told(s, d):
@@ -687,7 +693,7 @@ def told(s, d):
     return own.select("answer_id", answer.alias("answer")), retrieved
 
 
-SPANNED = """p AS (SELECT item_id AS answer_id, text, regexp_extract(text, '[^.!?"]{4,60}', 0) AS quote FROM benchmark),
+SPANNED = """p AS (SELECT item_id AS answer_id, text, regexp_extract(text, '[^.!?"]{4,400}', 0) AS quote FROM benchmark),
 c AS (SELECT answer_id, 0 AS pos, 'unchecked' AS verdict, instr(text, quote) - 1 AS start, answer_id * 1000 + instr(text, quote) - 1 + length(quote) AS doc_end, '' AS reason FROM p
 UNION ALL SELECT answer_id, 1, 'fabricated', NULL, NULL, 'quoted text does not appear in the cited passage' FROM p
 UNION ALL SELECT answer_id, 2, 'fabricated', NULL, NULL, 'cites z-chunk-' || answer_id || ', which was not retrieved' FROM p)"""
@@ -837,3 +843,58 @@ def retrieve_with_graph(s, d):
     own = by_number(s, d, vectors(s, d)).select("id", "embedding")
     said = questions(s, d).select("q", F.lit("[3, 1, 2, 9, 4]").alias("reply")).where("q % 2 = 0")
     return question.retrieve_passages(Numbered(s, d), chunked(s, d), own, asked(s, d), relations=library_relations(s, d), replies=said)
+
+
+@query("""SELECT source || '.pdf' AS file, coalesce(arg_min(split_part(text, chr(10), 1), doc_id) FILTER (trim(split_part(text, chr(10), 1), ' ') <> ''), source) AS title FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def library_listing(s, d):
+    files = docs(s, d).where("source is not null").select(F.concat("source", F.lit(".pdf")).alias("file"), F.lit("").alias("pdf_title")).distinct()
+    chunks = docs(s, d).select(F.concat(F.lit("/data/"), "source", F.lit(".pdf")).alias("source"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("doc_id").alias("ord"))
+    return lib.listing(chunks, files)
+
+
+@query("SELECT conv_id, substr(min_by(text, turn), 1, 60) AS title FROM conversations WHERE role = 'user' GROUP BY 1")
+def conversation_titles(s, d):
+    return lib.conversation_titles(tables.table(s, d, "conversations"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations c JOIN (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'user' GROUP BY 1) USING (conv_id) WHERE turn < last")
+def before_last_question(s, d):
+    return lib.before_last_question(tables.table(s, d, "conversations")).select("conv_id", "turn", "role")
+
+
+@query(f"""WITH v AS (SELECT source AS answer_id, {JUDGED} AS verdict, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT answer_id, string_agg(n || ' ' || verdict, ', ' ORDER BY list_position(['supported', 'partial', 'unsupported', 'fabricated', 'unchecked'], verdict)) AS line FROM v GROUP BY 1""")
+def verdict_lines(s, d):
+    rows = judged(s, d).join(docs(s, d).select("doc_id", F.col("source").alias("answer_id")), "doc_id")
+    return lib.verdict_line(rows.groupBy("answer_id", "verdict").agg(F.count("*").alias("n")))
+
+
+@query(f"""{HITS} SELECT q AS answer_id, coalesce(bool_or(rank <= 3), false) AS cited_expected_evidence FROM benchmark b JOIN (SELECT item_id AS q FROM benchmark) i ON i.q = b.item_id LEFT JOIN hit USING (q) GROUP BY 1""")
+def cited_evidence(s, d):
+    """Answers that cite the three best passages."""
+    found = index(s, d).search(questions(s, d)).join(docs(s, d).select("doc_id", "source", "text"), "doc_id")
+    matches = found.select(F.col("q").alias("answer_id"), F.col("doc_id").alias("id"), "rank", "source", "text")
+    return evidence.cites_evidence(matches.where("rank <= 3").select("answer_id", F.col("id").alias("chunk_id")), matches, golden(s, d).withColumnRenamed("q", "answer_id"))
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'en' THEN source ELSE '' END, ''), CASE WHEN lang = 'fr' THEN '10.1/' || doc_id END, 'p' || doc_id) AS key FROM documents")
+def cache_keys(s, d):
+    arxiv = F.when(F.col("lang") == "en", F.col("source")).otherwise("")
+    doi = F.when(F.col("lang") == "fr", F.concat(F.lit("10.1/"), "doc_id"))
+    return docs(s, d).select("doc_id", lib.cache_key(arxiv, doi, F.concat(F.lit("/data/p"), "doc_id", F.lit(".pdf"))).alias("key"))
+
+
+@query(f"""WITH c AS (SELECT key, greatest(s, 0) AS s, least(e, 80) AS e FROM ({SPANS})), f AS (SELECT * FROM c WHERE e > s),
+r AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r),
+m AS (SELECT key, min(s) AS s, max(e) AS e FROM i GROUP BY key, island),
+g AS (SELECT key, coalesce(lag(e) OVER (PARTITION BY key ORDER BY s), 0) AS a, s, e, lead(s) OVER (PARTITION BY key ORDER BY s) AS nxt FROM m)
+SELECT key, s AS start, e AS "end", true AS marked FROM g UNION ALL SELECT key, a, s, false FROM g WHERE a < s UNION ALL SELECT key, e, 80, false FROM g WHERE nxt IS NULL AND e < 80""")
+def highlight_pieces(s, d):
+    return lib.pieces_between(highlight_segments(s, d).withColumn("length", F.lit(80).cast("long")))
+
+
+@query("""SELECT source, chunk_index, source || '-' || substr(md5(source), 1, 8) || '-chunk-' || chunk_index AS id FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents)""")
+def hashed_chunk_ids(s, d):
+    rows = docs(s, d).select("source", F.col("doc_id").alias("seq"), "text")
+    return passages.chunk_records(rows, lib.chunk_prefix(F.concat(F.col("source"), F.lit(".pdf")), F.md5("source"))).select("source", "chunk_index", "id")
