@@ -35,12 +35,19 @@ def norm_label(label: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Lower-case ASCII letters and digits only, for matching across line breaks."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    """Lower-case ASCII letters and digits only, for matching across line breaks; ligatures and other compatibility forms are spelled out.
+
+    Only texts beyond ASCII are handed to Arrow to be normalised.
+    """
+    spelled = nfkc()(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    return F.regexp_replace(F.lower(F.coalesce(spelled, text)), "[^a-z0-9]", "")
 
 
 #: Identifiers of both arXiv schemes, with a version.
-ARXIV_ID = r"((?:\d{4}\.\d{4,5}|[a-zA-Z-]+(?:\.[a-zA-Z]{2})?/\d{7})(?:[vV]\d+)?)"
+ARXIV_ID = r"(?i)((?:\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?)"
+#: The identifier that is printed on a paper, that at the start of a file's name, a DOI, and arXiv's own DOIs.
+PRINTED_ID, NAMED_ID = r"(?i)arxiv[:\s]*(\d{4}\.\d{4,5})", r"^(\d{4}\.\d{4,5})"
+DOI, ARXIV_DOI = r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)\b", "10.48550"
 
 
 def arxiv_id(text: Column) -> Column:
@@ -50,14 +57,14 @@ def arxiv_id(text: Column) -> Column:
 
 def stamped_arxiv_id(head: Column, name: Column) -> Column:
     """The identifier that a paper's opening pages name, else the one that its file's name starts with; without a version."""
-    printed = F.nullif(F.regexp_extract(head, r"(?i)arxiv[:\s]*(\d{4}\.\d{4,5})", 1), F.lit(""))
-    return F.coalesce(printed, F.nullif(F.regexp_extract(name, r"^(\d{4}\.\d{4,5})", 1), F.lit("")))
+    printed = F.nullif(F.regexp_extract(head, PRINTED_ID, 1), F.lit(""))
+    return F.coalesce(printed, F.nullif(F.regexp_extract(name, NAMED_ID, 1), F.lit("")))
 
 
 def doi(text: Column) -> Column:
     """The first DOI, without closing punctuation; null if there is none or it is an arXiv one."""
-    found = F.regexp_extract(text, r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)\b", 1)
-    return F.when((found != "") & ~found.contains("10.48550"), F.regexp_replace(found, r"[.,;)]+$", ""))
+    found = F.regexp_extract(text, DOI, 1)
+    return F.when((found != "") & ~found.contains(ARXIV_DOI), F.regexp_replace(found, r"[.,;)]+$", ""))
 
 
 def nfkc():

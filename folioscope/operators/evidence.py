@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import stem
 from folioscope.operators import matching
 
+#: Fixed value: how an answer cites a passage, with or without a quote.
 CITATION = r"\[([A-Za-z0-9._-]+chunk-\d+)(?:\s+\"([^\"]{4,400})\")?\]"
 
 

@@ -73,8 +73,8 @@ GENERIC = (
 ).split()
 VAGUE = ["conceptually_related_to", "semantically_similar_to"]
 GUIDE = (
-    "RELATIONSHIPS — links between papers and concepts that a model has extracted. They are hints, not evidence: state a link only "
-    "where one of the PASSAGES says the same, and cite that passage.\n"
+    "RELATIONSHIPS — links between papers and concepts that a model has extracted. They are hints, not evidence. Never cite them: "
+    "state a link only where one of the PASSAGES says the same, and cite that passage.\n"
 )
 SEEDS_MOST, OVERLAP_LEAST, EXPANSION_MOST, FACTS_MOST = 6, 0.5, 8, 12
 

@@ -18,6 +18,7 @@ KNOWN_HEADERS = [
     "ablation study", "conclusion", "conclusions", "future work", "references", "appendix", "acknowledgements", "acknowledgments",
 ]
 HEADER_RATIO, HEADER_CHARS = 1.15, 80
+#: The preprint stamp, captions, numbered headings, and the end of a sentence.
 ARXIV_STAMP = r"(?i)^\s*arxiv:\s*\d"
 CAPTION = r"(?i)^\s*(table|figure|fig\.?|algorithm|listing)\s*\d+"
 NUMBERED = r"^\s*(\d+(\.\d+)*|[IVXLC]+)\.?\s*[A-Z][A-Za-z]"

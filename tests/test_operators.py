@@ -97,11 +97,19 @@ def test_bibtex(spark):
     assert one(spark, biblio.tex_escaped(F.col("t")), t="a_b & 5% \\") == r"a\_b \& 5\% \textbackslash{}"
 
 
-def test_ingest_twice_is_once(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two"), ("b", 1, "three")], "source string, seq int, text string")
-    for part in ("x", "y"):
-        rows.coalesce(1).write.parquet(str(tmp_path / "in" / part))
-    for n in range(2):
-        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in" / "x"))
-        ingest.start(stream, str(tmp_path / "out"), str(tmp_path / f"state{n}")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+def test_ingest_in_parts_again_and_deleted(spark, tmp_path):
+    out = str(tmp_path / "out")
+    first = [("/d/a.pdf", "h" * 12, 1, "one"), ("/d/b.pdf", "g" * 12, 1, "three")]
+    second = [("/d/a.pdf", "h" * 12, 2, "two"), ("/d/a.pdf", "h" * 12, 1, "one"), ("/d/c.pdf", None, 1, "lost")]
+    for n, part in enumerate((first, second, first)):
+        spark.createDataFrame(part, ingest.PIECES).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema(ingest.PIECES).parquet(str(tmp_path / "in" / str(n)))
+        ingest.start(stream, out, str(tmp_path / f"state{n}")).awaitTermination()
+    got = {(r["id"], r["prev_id"], r["text"], r["doc_start"]) for r in spark.read.parquet(f"{out}/chunks").collect()}
+    assert got == {("a-hhhhhhhh-chunk-0", None, "one", 0), ("a-hhhhhhhh-chunk-1", "a-hhhhhhhh-chunk-0", "two", 5), ("b-gggggggg-chunk-0", None, "three", 0)}
+    gone = spark.createDataFrame([("h" * 12,), ("x",)], "file_hash string")
+    assert ingest.kept(spark, out, gone).count() == 1
+    ingest.drop(spark, out, gone)
+    assert [r["id"] for r in ingest.held(spark, f"{out}/chunks").collect()] == ["b-gggggggg-chunk-0"]
+    ingest.take(spark.createDataFrame(second, ingest.PIECES), out)
+    assert ingest.held(spark, f"{out}/chunks").count() == 3
