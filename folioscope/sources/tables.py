@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,8 +12,16 @@ from folioscope.functions.text import stem
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh path under the folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session, as in tests, may leave that unset: it gets a folder of its own on the machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
