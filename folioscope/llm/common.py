@@ -124,7 +124,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not n:
             return spark.createDataFrame([], "node long, label long")
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, "u", "v", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+        large = with_least(both, "u", "v", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
         low = with_least(large, "u", "v", 2 * n)
         nxt = written(low.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
         new = count(nxt)

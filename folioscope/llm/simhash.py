@@ -34,6 +34,8 @@ from . import common
 
 #: Rows of one comparison task at most, on either side.
 CHUNK_ROWS = 16384
+#: Shingles of one task's sets at most, on either side.
+CHUNK_SHINGLES = 1 << 21
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -327,63 +329,130 @@ SIEVED = 64
 FEW = 8
 
 
-def candidates(spread: DataFrame, sizes: DataFrame, similarity: float, limit: int, leaders: bool, max_broadcast: int = 100_000) -> DataFrame:
-    """u, v: pairs of rows of spread (shard, fp, n, wide, label) in one shard that may be similar.
+#: So many nearest rows of each row are candidates in a crowded shard from the start.
+NEAREST = 3
 
-    A pair may be if the sizes allow it and, where both sets are large, the fingerprints differ by no more than limit.
-    With leaders, a crowded shard gives only pairs with a leader: the first row that no earlier leader took. Without,
-    it gives all pairs of rows with different labels. sizes (shard, na): in how many chunks to deal the shards.
-    """
+
+def nearest_rows(bits: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers (from first on): each row with its NEAREST others; bits: a line of 64-bit words per row."""
+    n, i, j = len(bits), [], []
+    step, k = max(1, 4_000_000 // n), min(NEAREST, n - 1)
+    for at in range(0, n, step):
+        part = bits[at : at + step]
+        far = np.zeros((len(part), n), np.uint16)
+        for w in range(bits.shape[1]):
+            far += np.bitwise_count(part[:, w][:, None] ^ bits[None, :, w])
+        far[np.arange(len(part)), np.arange(at, at + len(part))] = np.iinfo(np.uint16).max
+        i.append(np.repeat(np.arange(at, at + len(part)), k))
+        j.append(np.argpartition(far, k - 1, axis=1)[:, :k].ravel())
+    return first + np.concatenate(i), first + np.concatenate(j)
+
+
+def dealt_in_chunks(spread: DataFrame, sizes: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
+    """spread's rows with task: those of a shard in one, or for the shards in sizes (shard, na) each two of na chunks in one."""
     crowded = sizes.count()
     cut = spread.join(F.broadcast(sizes) if crowded <= max_broadcast else sizes, "shard", "left")
     na = F.coalesce("na", F.lit(1))
     spot = F.pmod(F.xxhash64("fp", F.lit(7)), na).cast("int")
     meets = F.transform(F.sequence(F.lit(0), na - 1), lambda a: F.struct(F.least(a, spot).alias("h"), F.greatest(a, spot).alias("a")))
     task = F.xxhash64("shard", "x.h", "x.a")  # two chunks meet once, under the lesser one's number
+    dealt = cut.withColumn("x", F.explode(meets)).withColumn("task", task).drop("na", "x")
+    return dealt.repartition("task").sortWithinPartitions("task")
+
+
+def flat_list(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values, and where each row's start."""
+    column = t.column(name).combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(), column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
+
+
+def sieve(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, limit: int):
+    """Of pairs of row numbers those whose sizes allow the similarity and, where both sets are large, whose fingerprints differ by limit at most."""
+
+    def may(i, j):
+        hit = np.flatnonzero((fp[i] != fp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9))
+        i, j = i[hit], j[hit]
+        near = (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.uint16) <= limit) | (np.minimum(n[i], n[j]) < SIEVED)
+        return i[near], j[near]
+
+    return may
 
-    def compare(batches):
-        for t in common.whole_groups(batches, "task", 1 << 16):
-            task, fp, n, label = (t.column(c).to_numpy() for c in ("task", "fp", "n", "label"))
-            wide = t.column("wide").combine_chunks()
-            wide = pa.concat_arrays(wide.chunks) if isinstance(wide, pa.ChunkedArray) else wide
-            bits = np.ascontiguousarray(wide.flatten().to_numpy().view(np.uint64).reshape(len(fp), -1))
 
-            def may(i, j):
-                hit = np.flatnonzero((fp[i] != fp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9))
-                i, j = i[hit], j[hit]
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.uint16)
-                near = (differ <= limit) | (np.minimum(n[i], n[j]) < SIEVED)
-                return i[near], j[near]
+def candidates(spread: DataFrame, sizes: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """u, v: pairs of rows of spread (shard, fp, n, wide) in one shard that may be similar.
 
-            found = []
+    Small shards give all of them. A crowded one gives only pairs with a leader (the first row that no earlier leader
+    took) and of each row with the NEAREST rows by fingerprint, so no more than a few times its rows.
+    """
+
+    def compare(batches):
+        for t in common.whole_groups(batches, "task", 1 << 16):
+            task, fp, n = (t.column(c).to_numpy() for c in ("task", "fp", "n"))
+            bits = np.ascontiguousarray(flat_list(t, "wide")[0].view(np.uint64).reshape(len(fp), -1))
+            may, found = sieve(fp, n, bits, similarity, limit), []
             edge = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
             size = np.diff(edge)
-            if leaders:
-                few = np.repeat(size <= FEW, size)
-                for k in range(1, min(FEW, int(size.max(initial=1)))):
-                    a = np.flatnonzero(few[:-k] & (task[:-k] == task[k:]))
-                    found.append(may(a, a + k))
-            for g in np.flatnonzero(size > (FEW if leaders else 1)):
+            few = np.repeat(size <= FEW, size)
+            for k in range(1, min(FEW, int(size.max(initial=1)))):
+                a = np.flatnonzero(few[:-k] & (task[:-k] == task[k:]))
+                found.append(may(a, a + k))
+            for g in np.flatnonzero(size > FEW):
                 left = np.arange(edge[g], edge[g + 1])
-                if not leaders and (label[left] == label[left[0]]).all():
-                    continue
+                found.append(may(*nearest_rows(bits[left], left[0])))
                 while len(left) > 1:
                     first, left = left[0], left[1:]
-                    other = left if leaders else left[label[left] != label[first]]
-                    found.append(may(np.full(len(other), first), other))
-                    if leaders:
-                        left = np.setdiff1d(left, found[-1][1], assume_unique=True)
+                    found.append(may(np.full(len(left), first), left))
+                    left = np.setdiff1d(left, found[-1][1], assume_unique=True)
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield from pa.table({"u": np.minimum(fp[i], fp[j]), "v": np.maximum(fp[i], fp[j])}).to_batches()
 
-    dealt = cut.select("shard", "fp", "n", "wide", "label", F.explode(meets).alias("x")).select(task.alias("task"), "fp", "n", "wide", "label")
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "u long, v long").distinct()
+    dealt = dealt_in_chunks(spread.select("shard", "fp", "n", "wide"), sizes)
+    return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, similarity: float, max_broadcast: int = 100_000) -> DataFrame:
-    """Those of pairs (u, v) whose sets of distinct shingles have the similarity; first has a row of docs for each fp."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+def links_apart(crowd: DataFrame, sizes: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """u, v: all links in a shard between rows of crowd (shard, fp, n, wide, label, bands, held) with different labels.
+
+    Sets are compared where they meet, so a crowded shard sends out no pair that is not a link. A pair that shares
+    several shards is compared in the first one.
+    """
+
+    def compare(batches):
+        for t in common.whole_groups(batches, "task", 1 << 10):
+            task, shard, fp, n, label = (t.column(c).to_numpy() for c in ("task", "shard", "fp", "n", "label"))
+            bits = np.ascontiguousarray(flat_list(t, "wide")[0].view(np.uint64).reshape(len(fp), -1))
+            bands = flat_list(t, "bands")[0].reshape(len(fp), -1)
+            held, start = flat_list(t, "held")
+            may, own = sieve(fp, n, bits, similarity, limit), np.argmax(bands == shard[:, None], axis=1)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+            ends = np.append(start, len(held))
+            for g in np.flatnonzero(np.diff(edge) > 1):
+                lo, hi = edge[g], edge[g + 1]
+                if (label[lo:hi] == label[lo]).all():
+                    continue
+                known, ids = np.unique(held[ends[lo] : ends[hi]], return_inverse=True)
+                mark, at = np.zeros(len(known), bool), start[lo:hi] - ends[lo]
+                for k in range(lo, hi - 1):
+                    rest = np.arange(k + 1, hi)
+                    rest = rest[label[rest] != label[k]]
+                    _, j = may(np.full(len(rest), k), rest)
+                    j = j[np.argmax(bands[j] == bands[k], axis=1) == own[k]]
+                    if not len(j):
+                        continue
+                    mine = ids[at[k - lo] : ends[k + 1] - ends[lo]]
+                    mark[mine] = True
+                    both = np.array([np.count_nonzero(mark[ids[at[x - lo] : ends[x + 1] - ends[lo]]]) for x in j])
+                    mark[mine] = False
+                    j = j[both >= similarity * (n[k] + n[j] - both) - 1e-9]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[k], fp[j])), pa.array(np.maximum(fp[k], fp[j]))], names=["u", "v"])
+
+    return dealt_in_chunks(crowd, sizes).mapInArrow(compare, "u long, v long")
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, max_broadcast: int = 100_000) -> DataFrame:
+    """fp, held: the sets of distinct shingles of wanted (fp); first has a row of docs for each fp."""
     keys = common.written(first.join(wanted, "fp").select("fp", F.col("first.doc_id").alias("k_id"), F.col("first.text_hash").alias("k_hash")), "wanted")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
     texts = docs.select("doc_id", "text").join(F.broadcast(keys) if keys.count() <= max_broadcast else keys, same).select("fp", "text")
@@ -394,7 +463,12 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int,
                 held = np.unique(shingle_hashes(t or b"", shingle)).view("<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([fp], pa.int64()), pa.array([held], pa.list_(pa.int64()))], names=["fp", "held"])
 
-    sets = common.written(texts.mapInArrow(run, "fp long, held array<long>").dropDuplicates(["fp"]), "sets")
+    return common.written(texts.mapInArrow(run, "fp long, held array<long>").dropDuplicates(["fp"]), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets of distinct shingles have the similarity; first has a row of docs for each fp."""
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), docs, first, shingle)
     one, two = sets.select(F.col("fp").alias("u"), F.col("held").alias("a")), sets.select(F.col("fp").alias("v"), F.col("held").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     enough = both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9
@@ -415,8 +489,9 @@ def similar_groups(
     Candidates share a band of `rows` minima, whatever their length: with 20 bands of 4 a pair at similarity 0.8 does
     with probability 0.99997. Two sets of similarity s have a cosine of 2s / (1 + s) at least, and each fingerprint bit
     differs with probability acos(cosine) / pi; candidates with six standard deviations more are sieved out, unless
-    one is short. A crowded shard's rows are first checked against leaders; then all its candidates that the links so
-    far leave in different components are checked, so a large group of copies never needs all its pairs.
+    one is short. A crowded shard's rows are first checked against leaders and their nearest rows; then all its candidates
+    that the links so far leave in different components are checked where they meet, so a large group of copies sends
+    out links only, and once it hangs together needs none of its other pairs.
     """
     total = 64 * words
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -426,19 +501,24 @@ def similar_groups(
         fps.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "wide", "bands")]),
         "distinct",
     )
-    spread = first.select(F.explode("bands").alias("shard"), "fp", "n", "wide", F.col("fp").alias("label"))
-    large = common.written(spread.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW), "sizes")
-    sizes = large.select("shard", F.ceil(F.col("rows") / CHUNK_ROWS).cast("int").alias("na")).where("na > 1")
-    pairs = common.written(candidates(spread, sizes, similarity, limit, True), "candidates")
+    spread = first.select(F.explode("bands").alias("shard"), "fp", "n", "wide")
+    counts = spread.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("n").alias("held"))
+    large = common.written(counts.where(F.col("rows") > FEW), "sizes")
+    pieces = lambda c, most: large.select("shard", F.ceil(F.col(c) / most).cast("int").alias("na")).where("na > 1")
+    pairs = common.written(candidates(spread, pieces("rows", CHUNK_ROWS), similarity, limit), "candidates")
     links = common.written(verified(pairs, docs, first, shingle, similarity), "links")
     labels = common.connected_components(links)
     n_large = large.count()
     if n_large:
-        crowd = spread.join(F.broadcast(large) if n_large <= 100_000 else large, "shard", "left_semi").drop("label")
-        crowd = crowd.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("shard", "fp", "n", "wide", F.coalesce("label", "fp").alias("label"))
-        more = common.written(candidates(crowd, sizes, similarity, limit, False).join(pairs, ["u", "v"], "left_anti"), "candidates")
-        links = links.union(verified(more, docs, first, shingle, similarity))
-        labels = common.connected_components(links)
+        crowd = spread.join(F.broadcast(large.select("shard")) if n_large <= 100_000 else large.select("shard"), "shard", "left_semi").drop("label")
+        crowd = crowd.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        # Shards whose rows hang together by now have nothing left to compare.
+        open_ = crowd.groupBy("shard").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shard")
+        crowd = common.written(crowd.join(open_, "shard", "left_semi"), "crowd")
+        sets = sets_of(crowd.select("fp").distinct(), docs, first, shingle)
+        more = common.written(links_apart(crowd.join(first.select("fp", "bands"), "fp").join(sets, "fp"), pieces("held", CHUNK_SHINGLES), similarity, limit).distinct(), "links")
+        if not more.isEmpty():
+            labels = common.connected_components(links.union(more))
     return _named(fps.select("doc_id", "text_hash", "fp"), first.select("fp", "first_id"), labels)
 
 

@@ -316,6 +316,7 @@ def test_similar_groups_equal_brute_force(spark, docs, monkeypatch):
     want = {i: top(i) for i in range(len(texts))}
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()} == want
     monkeypatch.setattr(simhash, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 2000)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()} == want
 
 
