@@ -50,12 +50,16 @@ def bibtex(authors: Column, year: Column, title: Column, venue: Column, doi: Col
     return F.concat(F.lit("@"), kind, F.lit("{"), bibtex_key(authors, year, title), F.lit(",\n"), F.array_join(F.array_compact(F.array(*rows)), ",\n"), F.lit("\n}\n"))
 
 
+#: The sentences that readers of the records expect.
+RETRACTED_PLAIN, UNCHECKED = "this work has been retracted", "No DOI or arXiv id found — retraction status could not be checked."
+
+
 def warnings(retracted: Column, note: Column, doi: Column, arxiv: Column) -> Column:
     """What to warn of: a retraction, and that without an identifier there is no telling."""
     unknown = (F.coalesce(doi, F.lit("")) == "") & (F.coalesce(arxiv, F.lit("")) == "")
-    why = F.coalesce(F.nullif(note, F.lit("")), F.lit("this work has been retracted"))
+    why = F.coalesce(F.nullif(note, F.lit("")), F.lit(RETRACTED_PLAIN))
     return F.array_compact(
-        F.array(F.when(retracted, F.concat(F.lit("RETRACTED: "), why)), F.when(unknown, "No DOI or arXiv id found — retraction status could not be checked."))
+        F.array(F.when(retracted, F.concat(F.lit("RETRACTED: "), why)), F.when(unknown, UNCHECKED))
     )
 
 

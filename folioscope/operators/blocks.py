@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import passages
 
 PROSE, MATH, REFERENCE = "prose", "math", "reference"
+#: Fixed value: the headings behind which there is nothing to answer from.
 REFERENCE_SECTION = r"(?i)^\s*(references?|bibliography|acknowledge?ments?)\b"
 #: Sizes in characters, but the maths run's, in lines.
 SECTION_MOST, UNIT_MOST, BLOCK_LEAST, RESUMING_LEAST, MATH_RUN_LEAST = 4000, 3000, 200, 100, 3

@@ -177,6 +177,7 @@ def split_text(labelled: DataFrame, most: int = 4) -> DataFrame:
         F.concat(F.lit("  The pushback is more recent ("), F.col("first").cast("string"), F.lit("+) than the support (to "), F.col("last").cast("string"), F.lit(") — say so.")),
     )
     quoted = F.transform(F.filter("c", lambda x: x["claim"] != ""), lambda x: F.concat(F.lit("  - "), x["paper"], F.lit(": "), x["claim"]))
+    # The block's sentences, which prompts refer to.
     head = F.array_compact(F.array(F.lit("DISAGREEMENT IN THE RETRIEVED EVIDENCE — do not average this away."), side_line("pro", "support"), side_line("con", "push back"), newer))
     end = F.array(F.lit("Report the split explicitly, and say which side each paper is on."))
     return found.where(F.size("con") > 0).select("q", F.array_join(F.concat(head, quoted, end), "\n").alias("block"))
