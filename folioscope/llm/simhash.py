@@ -323,6 +323,8 @@ def sketches(docs: DataFrame, shingle: int, words: int, bands: int, rows: int, s
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
+#: Graphs of links with so many edges at most are collected; larger ones take rounds of joins.
+COLLECTED = 100_000
 #: From so many shingles on, fingerprints sieve candidates; below, sets are too small for them.
 SIEVED = 64
 #: Up to so many rows, all pairs of a shard are candidates at once.
@@ -331,21 +333,60 @@ FEW = 8
 
 #: So many nearest rows of each row are candidates in a crowded shard from the start.
 NEAREST = 3
+#: Rows that a leaf of a shard's tree holds without being split, and how many comparisons a row of a node a split has to save.
+LEAF, SAVED = 64, 16
 
 
-def nearest_rows(bits: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers (from first on): each row with its NEAREST others; bits: a line of 64-bit words per row."""
-    n, i, j = len(bits), [], []
-    step, k = max(1, 4_000_000 // n), min(NEAREST, n - 1)
-    for at in range(0, n, step):
-        part = bits[at : at + step]
-        far = np.zeros((len(part), n), np.uint16)
+def vantage_leaves(n: int, measure, radius: float, seed: int = 17):
+    """Yields (rows, homes), ascending row numbers, for the leaves of a vantage-point tree over n rows of a metric.
+
+    measure(rows) gives a function from a row to its distances from rows. A row is at home in one leaf, and a guest in
+    each other one that the triangle bound cannot exclude, so of two rows within the radius each is in the other's home
+    leaf. A node is split at the vantage point and limit that leave the fewest comparisons; where none saves enough it
+    stays whole, so the tree never costs more comparisons than there are pairs.
+    """
+    rng = np.random.default_rng(seed)
+    stack = [(np.arange(n), np.ones(n, bool))]
+    while stack:
+        rows, home = stack.pop()
+        most = np.count_nonzero(home)
+        if not most:
+            continue
+        best, work = None, (most - SAVED) * len(rows)
+        if len(rows) > LEAF:
+            to = measure(rows)
+            for v in rng.choice(rows, 4, replace=False):
+                d = to(v)
+                own = np.sort(d[home])
+                gap = int(np.argmax(np.diff(own))) if most > 1 else 0
+                for limit in {own[most // 4], own[most // 2], own[3 * most // 4], own[gap], own[min(gap + 1, most - 1)] - 1e-9}:
+                    inside, near, far = d <= limit, d <= limit + radius, d > limit - radius
+                    within = np.count_nonzero(home & inside)
+                    cost = within * np.count_nonzero(near) + (most - within) * np.count_nonzero(far)
+                    if 0 < within < most and cost < work:
+                        best, work = (inside, near, far), cost
+        if best is None:
+            yield rows, rows[home]
+            continue
+        inside, near, far = best
+        stack.append((rows[near], (home & inside)[near]))
+        stack.append((rows[far], (home & ~inside)[far]))
+
+
+def nearest_rows(bits: np.ndarray, rows: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers: each of homes with its NEAREST others of rows; bits: a line of 64-bit words per row."""
+    i, j, held = [], [], bits[rows]
+    step, k = max(1, 4_000_000 // len(rows)), min(NEAREST, len(rows) - 1)
+    for at in range(0, len(homes) if k else 0, step):
+        part = homes[at : at + step]
+        far = np.zeros((len(part), len(rows)), np.uint16)
         for w in range(bits.shape[1]):
-            far += np.bitwise_count(part[:, w][:, None] ^ bits[None, :, w])
-        far[np.arange(len(part)), np.arange(at, at + len(part))] = np.iinfo(np.uint16).max
-        i.append(np.repeat(np.arange(at, at + len(part)), k))
-        j.append(np.argpartition(far, k - 1, axis=1)[:, :k].ravel())
-    return first + np.concatenate(i), first + np.concatenate(j)
+            far += np.bitwise_count(bits[part, w][:, None] ^ held[None, :, w])
+        far[np.arange(len(part)), np.searchsorted(rows, part)] = np.iinfo(np.uint16).max
+        i.append(np.repeat(part, k))
+        j.append(rows[np.argpartition(far, k - 1, axis=1)[:, :k].ravel()])
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(i or empty), np.concatenate(j or empty)
 
 
 def dealt_in_chunks(spread: DataFrame, sizes: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
@@ -382,8 +423,9 @@ def sieve(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, li
 def candidates(spread: DataFrame, sizes: DataFrame, similarity: float, limit: int) -> DataFrame:
     """u, v: pairs of rows of spread (shard, fp, n, wide) in one shard that may be similar.
 
-    Small shards give all of them. A crowded one gives only pairs with a leader (the first row that no earlier leader
-    took) and of each row with the NEAREST rows by fingerprint, so no more than a few times its rows.
+    Small shards give all of them. A crowded one is searched through a vantage-point tree over its fingerprints: a leaf
+    gives of each row at home its NEAREST rows, and pairs with a leader (the first row at home that no earlier leader
+    took), so no more than a few times the shard's rows.
     """
 
     def compare(batches):
@@ -398,12 +440,16 @@ def candidates(spread: DataFrame, sizes: DataFrame, similarity: float, limit: in
                 a = np.flatnonzero(few[:-k] & (task[:-k] == task[k:]))
                 found.append(may(a, a + k))
             for g in np.flatnonzero(size > FEW):
-                left = np.arange(edge[g], edge[g + 1])
-                found.append(may(*nearest_rows(bits[left], left[0])))
-                while len(left) > 1:
-                    first, left = left[0], left[1:]
-                    found.append(may(np.full(len(left), first), left))
-                    left = np.setdiff1d(left, found[-1][1], assume_unique=True)
+                lo, own = edge[g], bits[edge[g] : edge[g + 1]]
+                measure = lambda rows, own=own: lambda v: np.bitwise_count(own[rows] ^ own[v]).sum(axis=1, dtype=np.int64)
+                for rows, left in vantage_leaves(len(own), measure, limit):
+                    i, j = nearest_rows(own, rows, left)
+                    found.append(may(lo + i, lo + j))
+                    left = lo + left
+                    while len(left) > 1:
+                        first, left = left[0], left[1:]
+                        found.append(may(np.full(len(left), first), left))
+                        left = np.setdiff1d(left, found[-1][1], assume_unique=True)
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield from pa.table({"u": np.minimum(fp[i], fp[j]), "v": np.maximum(fp[i], fp[j])}).to_batches()
@@ -415,8 +461,9 @@ def candidates(spread: DataFrame, sizes: DataFrame, similarity: float, limit: in
 def links_apart(crowd: DataFrame, sizes: DataFrame, similarity: float, limit: int) -> DataFrame:
     """u, v: all links in a shard between rows of crowd (shard, fp, n, wide, label, bands, held) with different labels.
 
-    Sets are compared where they meet, so a crowded shard sends out no pair that is not a link. A pair that shares
-    several shards is compared in the first one.
+    Sets are compared where they meet, so a crowded shard sends out no pair that is not a link. They meet in the leaves
+    of a vantage-point tree over the sets' Jaccard distance, whose triangle bound is exact. A pair that shares several
+    shards is compared in the first one.
     """
 
     def compare(batches):
@@ -433,20 +480,32 @@ def links_apart(crowd: DataFrame, sizes: DataFrame, similarity: float, limit: in
                 if (label[lo:hi] == label[lo]).all():
                     continue
                 known, ids = np.unique(held[ends[lo] : ends[hi]], return_inverse=True)
-                mark, at = np.zeros(len(known), bool), start[lo:hi] - ends[lo]
-                for k in range(lo, hi - 1):
-                    rest = np.arange(k + 1, hi)
-                    rest = rest[label[rest] != label[k]]
-                    _, j = may(np.full(len(rest), k), rest)
-                    j = j[np.argmax(bands[j] == bands[k], axis=1) == own[k]]
-                    if not len(j):
-                        continue
-                    mine = ids[at[k - lo] : ends[k + 1] - ends[lo]]
-                    mark[mine] = True
-                    both = np.array([np.count_nonzero(mark[ids[at[x - lo] : ends[x + 1] - ends[lo]]]) for x in j])
-                    mark[mine] = False
-                    j = j[both >= similarity * (n[k] + n[j] - both) - 1e-9]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[k], fp[j])), pa.array(np.maximum(fp[k], fp[j]))], names=["u", "v"])
+                mark, at = np.zeros(len(known), bool), ends[lo : hi + 1] - ends[lo]
+
+                def measure(rows, ids=ids, mark=mark, at=at):
+                    size = at[rows + 1] - at[rows]
+                    first = np.cumsum(size) - size
+                    all_of = ids[np.repeat(at[rows] - first, size) + np.arange(size.sum())]
+
+                    def to(v):
+                        mine = ids[at[v] : at[v + 1]]
+                        mark[mine] = True
+                        both = np.add.reduceat(mark[all_of], first, dtype=np.int64)
+                        mark[mine] = False
+                        return 1 - both / (size + len(mine) - both)
+
+                    return to
+
+                for rows, homes in vantage_leaves(hi - lo, measure, 1 - similarity + 1e-9):
+                    for k in homes:
+                        rest = lo + rows[rows > k]  # a pair is compared where its first row is at home
+                        rest = rest[label[rest] != label[lo + k]]
+                        _, j = may(np.full(len(rest), lo + k), rest)
+                        j = j[np.argmax(bands[j] == bands[lo + k], axis=1) == own[lo + k]]
+                        if not len(j):
+                            continue
+                        j = j[measure(j - lo)(k) <= 1 - similarity + 1e-9]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[lo + k], fp[j])), pa.array(np.maximum(fp[lo + k], fp[j]))], names=["u", "v"])
 
     return dealt_in_chunks(crowd, sizes).mapInArrow(compare, "u long, v long")
 
@@ -489,7 +548,8 @@ def similar_groups(
     Candidates share a band of `rows` minima, whatever their length: with 20 bands of 4 a pair at similarity 0.8 does
     with probability 0.99997. Two sets of similarity s have a cosine of 2s / (1 + s) at least, and each fingerprint bit
     differs with probability acos(cosine) / pi; candidates with six standard deviations more are sieved out, unless
-    one is short. A crowded shard's rows are first checked against leaders and their nearest rows; then all its candidates
+    one is short. A crowded shard is searched through vantage-point trees: its rows are first checked against leaders and
+    their nearest rows; then all its candidates
     that the links so far leave in different components are checked where they meet, so a large group of copies sends
     out links only, and once it hangs together needs none of its other pairs.
     """
@@ -507,7 +567,7 @@ def similar_groups(
     pieces = lambda c, most: large.select("shard", F.ceil(F.col(c) / most).cast("int").alias("na")).where("na > 1")
     pairs = common.written(candidates(spread, pieces("rows", CHUNK_ROWS), similarity, limit), "candidates")
     links = common.written(verified(pairs, docs, first, shingle, similarity), "links")
-    labels = common.connected_components(links)
+    labels = common.connected_components(links, COLLECTED)
     n_large = large.count()
     if n_large:
         crowd = spread.join(F.broadcast(large.select("shard")) if n_large <= 100_000 else large.select("shard"), "shard", "left_semi").drop("label")
@@ -518,7 +578,7 @@ def similar_groups(
         sets = sets_of(crowd.select("fp").distinct(), docs, first, shingle)
         more = common.written(links_apart(crowd.join(first.select("fp", "bands"), "fp").join(sets, "fp"), pieces("held", CHUNK_SHINGLES), similarity, limit).distinct(), "links")
         if not more.isEmpty():
-            labels = common.connected_components(links.union(more))
+            labels = common.connected_components(links.union(more), COLLECTED)
     return _named(fps.select("doc_id", "text_hash", "fp"), first.select("fp", "first_id"), labels)
 
 
